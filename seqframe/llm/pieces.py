@@ -9,6 +9,7 @@ without a pair leave. The ranks of pairs are kept and recomputed only beside a m
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -202,16 +203,19 @@ class PieceCodec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (int32) of each text, without begin or end ids; null counts as empty."""
-        if len(self.store) > STORE:
-            self.store.clear()
-        store = self.store
+        get = self.store.get
         split = [self.units(t or "") for t in texts]
-        unseen = list({u for units in split for u in units if u not in store})
+        found = [list(map(get, units)) for units in split]
+        unseen = list({u for units, ids in zip(split, found, strict=True) if None in ids for u, x in zip(units, ids, strict=True) if x is None})
         words = [u[1:] if u[:1] == "\x00" else u if u[:1] == "\n" else MARK + u for u in unseen]
+        if len(self.store) + len(unseen) > STORE:  # the words of this batch stay, frequent ones among them
+            kept = {u: x for units, ids in zip(split, found, strict=True) for u, x in zip(units, ids, strict=True) if x is not None}
+            self.store.clear()
+            self.store.update(kept)
         for at in range(0, len(words), 65536):
             for u, ids in zip(unseen[at : at + 65536], self.merge(words[at : at + 65536]), strict=True):
-                store[u] = ids.tobytes()
-        return [np.frombuffer(b"".join(map(store.__getitem__, units)), np.int32) for units in split]
+                self.store[u] = ids.tobytes()
+        return [np.frombuffer(b"".join(map(self.store.__getitem__, units) if None in ids else ids), np.int32) for units, ids in zip(split, found, strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces and bytes joined, marks as spaces, without the one mark put in front."""
@@ -221,6 +225,12 @@ class PieceCodec:
         return raw.decode("utf-8", "replace")
 
 
+@functools.lru_cache(1)
+def _codec(path: str) -> PieceCodec:
+    """One codec for each worker process, with the words it has met."""
+    return PieceCodec(path)
+
+
 def encode_documents(docs: DataFrame, model: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep..., ids array<int>, decoded string: every whole text encoded and decoded again.
 
@@ -229,7 +239,7 @@ def encode_documents(docs: DataFrame, model: str, text_col: str = "text", keep:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
+        codec = _codec(model)
         for b in batches:
             encoded = codec.encode(b.column(len(keep)).to_pylist())
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, encoded)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *encoded])))
@@ -243,7 +253,7 @@ def encoding_digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; the codec's ids and texts stay in the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, sha = PieceCodec(model), hashlib.sha256
+        codec, sha = _codec(model), hashlib.sha256
         for b in batches:
             encoded = codec.encode(b.column(1).to_pylist())
             listed = [b",".join(map(codec.decimal.__getitem__, x.tolist())) for x in encoded]

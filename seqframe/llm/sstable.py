@@ -37,7 +37,7 @@ from seqframe.llm.util import map_batches, materialise, shared_dir
 MAGIC = b"SFSSTAB1"
 FOOTER = struct.Struct("<8Q8s8s")
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
-STORE = 250_000
+STORE = 700_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -218,8 +218,20 @@ class ByteTokenizer:
     Other texts go to the library whole.
     """
 
-    #: Anything for which that isn't sure.
-    ODD = re.compile(r"[^\n\x20-\x7e\xa1-ɏ]|\s\s|^\s|\s$|<\|")
+    #: Bytes of texts for which that is sure: printable ASCII, newlines, Latin letters up to U+024F.
+    FINE = bytes([10, *range(32, 127), *range(128, 192), *range(0xC2, 0xCA)])
+    #: What must not be in such a text; the first of U+00A1 and below, of which some are white space.
+    ODD = re.compile(b"\xc2[\x80-\xa0]|[ \n][ \n]|^[ \n]|[ \n]$|<\\|")
+    QUICK = (b"  ", b"\n\n", b" \n", b"\n ", b"<|", b"\xc2")
+
+    @classmethod
+    def splits(cls, text: bytes) -> bool:
+        """Whether cutting the text changes none of its ids."""
+        if text.translate(None, cls.FINE):
+            return False
+        if any(x in text for x in cls.QUICK) or text[:1] in b" \n" or text[-1:] in b" \n":
+            return not cls.ODD.search(text)
+        return True
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -232,28 +244,32 @@ class ByteTokenizer:
         self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.plain = self.lib.to_str().find('"ByteLevel"') >= 0 and self.lib.normalizer is None
-        self.store: dict[str, bytes] = {}
+        self.store: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.store) > STORE:
-            self.store.clear()
-        store, out, split = self.store, [np.zeros(0, self.dtype)] * len(texts), {}
+        out, split = [np.zeros(0, self.dtype)] * len(texts), {}
+        get = self.store.get
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if not self.plain or self.ODD.search(t):
+            raw = t.encode()
+            if not self.plain or not self.splits(raw):
                 out[i] = np.array(self.batch([t], add_special_tokens=False)[0].ids, self.dtype)
                 continue
-            units = t.replace("\n", " \n").split(" ")
-            units[0] = "\0" + units[0]
-            split[i] = units
-        unseen = list({u for units in split.values() for u in units if u not in store})
-        parts = [u[1:] if u[:1] == "\0" else u if u[:1] == "\n" else " " + u for u in unseen]
+            units = raw.replace(b"\n", b" \n").split(b" ")
+            units[0] = b"\0" + units[0]
+            split[i] = units, list(map(get, units))
+        unseen = list({u for units, found in split.values() if None in found for u, x in zip(units, found, strict=True) if x is None})
+        parts = [(u[1:] if u[:1] == b"\0" else u if u[:1] == b"\n" else b" " + u).decode() for u in unseen]
+        if len(self.store) + len(unseen) > STORE:  # the words of this batch stay, frequent ones among them
+            kept = {u: x for units, found in split.values() for u, x in zip(units, found, strict=True) if x is not None}
+            self.store.clear()
+            self.store.update(kept)
         for at in range(0, len(parts), 8192):
             for u, e in zip(unseen[at : at + 8192], self.batch(parts[at : at + 8192], add_special_tokens=False), strict=True):
-                store[u] = np.array(e.ids, self.dtype).tobytes()
-        for i, units in split.items():
-            out[i] = np.frombuffer(b"".join(map(store.__getitem__, units)), self.dtype)
+                self.store[u] = np.array(e.ids, self.dtype).tobytes()
+        for i, (units, found) in split.items():
+            out[i] = np.frombuffer(b"".join(map(self.store.__getitem__, units) if None in found else found), self.dtype)
         return out
 
 
