@@ -4,12 +4,296 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqframe.functions import letters as L
+from seqframe.functions import sam as S
+from seqframe.operators import alignments as A
+from seqframe.operators import filters, joins, kmers
+from seqframe.operators import search as srch
+from seqframe.kernels.search import SearchConfig
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):  # noqa: ANN201
+    def wrap(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+def _t(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DNA letters of the documents, eight at least."""
+    s = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
+    return _t(spark, sf_dir, "documents").select("doc_id", s.alias("s")).where(F.length("s") >= 8)
+
+
+_S = "S AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents WHERE length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) >= 8)"
+_RANK = "instr('ACGT', substr(s, CAST(i AS BIGINT), 1)) - 1"
+_K8 = f"K AS (SELECT doc_id, list_transform(range(1, length(s) - 6), lambda i: {' + '.join(f'(instr(chr(65) || chr(67) || chr(71) || chr(84), substr(s, i + {j}, 1)) - 1) * {4 ** (7 - j)}' for j in range(8))}) AS h FROM S)"
+
+
+def _one(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("bigint")
+
+
+@query(f"WITH {_S}, {_K8} SELECT hash, count(*) AS n FROM (SELECT unnest(h) AS hash FROM K) GROUP BY hash")
+def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.spectrum(_seqs(spark, sf_dir).select(kmers.kmer_hash("s", 8).alias("h")), "h")
+
+
+@query(f"WITH {_S}, {_K8} SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(h) AS x FROM K) GROUP BY doc_id")
+def kmer_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seqs(spark, sf_dir).select("doc_id", F.size(F.array_distinct(kmers.kmer_hash("s", 8))).cast("bigint").alias("n"))
+
+
+@query(
+    f"WITH {_S}, G AS (SELECT unnest(list_transform(range(1, length(s) - 1), lambda i: (instr('ACGT', substr(s, i, 1)) - 1) * 4 + instr('ACGT', substr(s, i + 2, 1)) - 1)) AS hash FROM S) SELECT hash, count(*) AS n FROM G GROUP BY hash"
+)
+def kmer_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.spectrum(_seqs(spark, sf_dir).select(kmers.kmer_hash("s", "101").alias("h")), "h")
+
+
+@query(
+    f"WITH {_S}, {_K8}, P AS (SELECT doc_id, unnest(h) AS x, generate_subscripts(h, 1) AS p FROM K), W AS (SELECT doc_id, p, min(x) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m, count(*) OVER (PARTITION BY doc_id) AS n FROM P) SELECT DISTINCT doc_id, m AS minimiser FROM W WHERE p >= least(5, n)"
+)
+def minimiser_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seqs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(kmers.minimiser(kmers.kmer_hash("s", 8), 5))).alias("minimiser"))
+
+
+@query(f"WITH {_S} SELECT doc_id, reverse(translate(s, 'ACGT', 'TGCA')) AS rc FROM S")
+def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seqs(spark, sf_dir).select("doc_id", L.reverse_complement("s", "dna4").alias("rc"))
+
+
+@query("SELECT doc_id, regexp_replace(translate(translate(text, 'acgtnuU', 'ACGTNTT'), '', ''), '[^ACGNT]', 'N', 'g') AS s FROM documents")
+def char_to_dna5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", L.char_to("text", "dna5").alias("s"))
+
+
+@query("SELECT p_partkey, regexp_full_match(p_name, '[ACGTNUacgtnu]*') AS valid FROM part")
+def char_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", L.char_is_valid_for("p_name", "dna5").alias("valid"))
+
+
+@query(f"WITH {_S} SELECT doc_id, length(s) - length(replace(s, 'A', '')) AS a, length(s) - length(replace(s, 'C', '')) AS c, length(s) - length(replace(s, 'G', '')) AS g, length(s) - length(replace(s, 'T', '')) AS t FROM S")
+def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seqs(spark, sf_dir).select("doc_id", *(_one(F.length("s") - F.length(F.replace("s", F.lit(x), F.lit("")))).alias(x.lower()) for x in "ACGT"))
+
+
+@query(
+    f"WITH {_S} SELECT doc_id, array_to_string(list_transform(range(0, length(s) // 3), lambda i: substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', (instr('TCAG', substr(s, 3 * i + 1, 1)) - 1) * 16 + (instr('TCAG', substr(s, 3 * i + 2, 1)) - 1) * 4 + instr('TCAG', substr(s, 3 * i + 3, 1)), 1)), '') AS aa FROM S"
+)
+def translate_f0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seqs(spark, sf_dir).select("doc_id", L.translate_single("s", 0).alias("aa"))
+
+
+@query(f"WITH {_S} SELECT doc_id, substr(s, 3, 30) AS part, regexp_replace(substr(s, 3, 30), '(.{{10}})', '\\1-', 'g') AS raw FROM S")
+def slice_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = L.slice_("s", 2, 32)
+    inter = L.interleave(part, 10, "-")
+    return _seqs(spark, sf_dir).select("doc_id", part.alias("part"), F.when(F.length(part) % 10 == 0, F.when(F.length(part) > 0, F.concat(inter, F.lit("-"))).otherwise("")).otherwise(inter).alias("raw"))
+
+
+@query("SELECT p_partkey, regexp_extract(p_type, '^[A-~]*') AS kept FROM part")
+def trim_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", L.trim_quality("p_type", 32).alias("kept"))
+
+
+@query(f"WITH {_S} SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, least(15, length(s)) + 1), lambda i: CAST(instr('ACGT', substr(s, i, 1)) - 1 AS BIGINT))), lambda h, r: h * 4 + r) AS hash FROM S")
+def seq_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seqs(spark, sf_dir).select("doc_id", L.sequence_hash(F.substring("s", 1, 15), "dna4").alias("hash"))
+
+
+@query("SELECT a.n_nationkey AS n_nationkey1, b.n_nationkey AS n_nationkey2, a.n_name AS n_name1, b.n_name AS n_name2 FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def pair_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.pairwise_combine(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+
+
+@query("WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS p FROM customer), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders) SELECT c_custkey, o_orderkey FROM a JOIN b USING (p)")
+def zip_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.zip_rows(_t(spark, sf_dir, "customer").select("c_custkey"), _t(spark, sf_dir, "orders").select("o_orderkey"), "c_custkey", "o_orderkey")
+
+
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey")
+
+
+_PAIRS = "P AS (SELECT a.p_partkey, a.p_name, b.p_name AS other FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"
+
+
+@query(f"WITH {_PAIRS} SELECT p_partkey, -levenshtein(p_name, other) AS score FROM P")
+def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("p_partkey", _one(A.edit_score("p_name", "other")).alias("score"))
+
+
+@query(f"WITH {_PAIRS} SELECT p_partkey, -levenshtein(p_name, other) AS score FROM P WHERE levenshtein(p_name, other) <= 6")
+def edit_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("p_partkey", _one(A.edit_score("p_name", "other", -6)).alias("score")).where("score IS NOT NULL")
+
+
+@query(f"WITH {_PAIRS} SELECT p_partkey, -levenshtein(p_name, other) AS score FROM P")
+def align_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("p_partkey", _one(A.align_pairwise("p_name", "other")["score"]).alias("score"))
+
+
+@query(f"WITH {_PAIRS} SELECT p_partkey, -hamming(p_name, other) AS score FROM P WHERE length(p_name) = length(other)")
+def hamming_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("p_partkey", _one(A.hamming_score("p_name", "other")).alias("score")).where("score IS NOT NULL")
+
+
+_ROWS_ONLY = {"global_affine": {}, "local_affine": {"method": "local"}, "semi_global": {"free_ends": (True, True, False, False)}, "banded": {"band": (-20, 20)}}
+
+
+def _alignment(name: str, options: dict) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cfg = A.AlignConfig(A.simple_scheme(4, -5), -10, -1, **options)
+        return _name_pairs(spark, sf_dir).select("p_partkey", A.align_pairwise("p_name", "other", cfg).alias("r")).select("p_partkey", "r.*")
+
+    run.__name__ = name
+    query()(run)
+
+
+for _name, _options in _ROWS_ONLY.items():
+    _alignment(_name, _options)
+
+
+def _needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 24).alias("query"))
+
+
+def _haystack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("reference_id"), "text")
+
+
+@query(
+    "WITH q AS (SELECT item_id AS query_id, substr(text, 1, 24) AS q FROM benchmark), d AS (SELECT doc_id AS reference_id, text, q.query_id, q.q FROM documents JOIN q ON contains(text, q.q)) SELECT query_id, reference_id, i - 1 AS reference_begin_position FROM (SELECT query_id, reference_id, text, q, unnest(range(1, length(text) + 1)) AS i FROM d) WHERE substr(text, i, 24) = q"
+)
+def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = srch.search(_needles(spark, sf_dir), _haystack(spark, sf_dir), k=16)
+    return hits.select("query_id", "reference_id", _one("reference_begin_position").alias("reference_begin_position"))
+
+
+_HAM = "WITH q AS (SELECT p_partkey AS query_id, substr(p_name, 1, 9) AS q FROM part WHERE p_partkey <= 40), H AS (SELECT q.query_id, p.p_partkey AS reference_id, i - 1 AS reference_begin_position, hamming(substr(p.p_name, i, 9), q.q) AS errors FROM q, (SELECT p_partkey, p_name, unnest(range(1, length(p_name) - 7)) AS i FROM part) p WHERE length(q.q) = 9 AND length(substr(p.p_name, i, 9)) = 9)"
+
+
+def _hamming_hits(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    q = part.where("p_partkey <= 40 AND length(p_name) >= 9").select(F.col("p_partkey").alias("query_id"), F.substring("p_name", 1, 9).alias("query"))
+    hits = srch.search(q, part.select(F.col("p_partkey").alias("reference_id"), F.col("p_name").alias("text")), SearchConfig(substitution=1, **options), k=4)
+    return hits.select("query_id", "reference_id", _one("reference_begin_position").alias("reference_begin_position"), _one("errors").alias("errors"))
+
+
+@query(f"{_HAM} SELECT * FROM H WHERE errors <= 1")
+def search_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hamming_hits(spark, sf_dir)
+
+
+@query(f"{_HAM} SELECT query_id, reference_id, reference_begin_position, errors FROM (SELECT *, min(errors) OVER (PARTITION BY query_id) AS b FROM H WHERE errors <= 1) WHERE errors = b")
+def hit_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hamming_hits(spark, sf_dir, hit="all_best")
+
+
+@query(f"{_HAM} SELECT query_id, count(*) AS n FROM H WHERE errors <= 1 GROUP BY query_id")
+def hit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return srch.count_hits(_hamming_hits(spark, sf_dir))
+
+
+@query(f"WITH {_S}, {_K8}, P AS (SELECT DISTINCT lang, x FROM (SELECT lang, unnest(h) AS x FROM K JOIN documents USING (doc_id) WHERE doc_id % 2 = 0)), V AS (SELECT unnest(h) AS x FROM K WHERE doc_id % 2 = 1) SELECT lang AS bin, count(*) AS n FROM P JOIN V USING (x) GROUP BY lang")
+def bin_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _seqs(spark, sf_dir).select("doc_id", F.explode(kmers.kmer_hash("s", 8)).alias("x"))
+    lang = _t(spark, sf_dir, "documents").select("doc_id", "lang")
+    return filters.exact_bin_count(h.where("doc_id % 2 = 0").join(lang, "doc_id"), h.where("doc_id % 2 = 1"), "x", "lang")
+
+
+@query(
+    "WITH V AS (SELECT p_partkey, (p_partkey::UHUGEINT * 13572355802537770549::UHUGEINT) % 18446744073709551616::UHUGEINT AS a FROM part), W AS (SELECT p_partkey, (xor(a, a // 18014398509481984::UHUGEINT) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS h FROM V) SELECT p_partkey, CAST((h * 1019::UHUGEINT) // 18446744073709551616::UHUGEINT AS BIGINT) AS slot FROM W"
+)
+def bloom_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", F.element_at(filters.slots("p_partkey", 1019, 1), 1).alias("slot"))
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def bloom_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = _t(spark, sf_dir, "customer").where("c_acctbal > 5000").select("c_custkey")
+    f = filters.BloomFilter.build(rich, "c_custkey", 1 << 22, 3)
+    return f.count(_t(spark, sf_dir, "orders").select("o_custkey"), "o_custkey")
+
+
+@query("SELECT c_nationkey AS bin, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey")
+def ibf_bulk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("nation"))
+    f = filters.InterleavedBloomFilter.build(c, "c_custkey", "nation", 25, 1 << 22, 3)
+    return f.bulk_count(_t(spark, sf_dir, "orders"), "o_custkey").where("n > 0").select(F.col("bin").cast("int").alias("bin"), "n")
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
+def semi_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer").where("c_acctbal < 0")
+    o = _t(spark, sf_dir, "orders")
+    return o.join(c, o.o_custkey == c.c_custkey, "left_semi").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_orderkey % 10 = 0)")
+def anti_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+
+
+_ORD = "l_linenumber, l_partkey, l_suppkey, l_shipdate"
+
+
+@query(
+    f"WITH R AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORD}) AS i, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY {_ORD}) AS j FROM lineitem), G AS (SELECT l_orderkey, l_returnflag, min(i) AS s, count(*) AS n FROM R GROUP BY l_orderkey, l_returnflag, i - j) SELECT l_orderkey, string_agg(n || l_returnflag, '' ORDER BY s) AS rle FROM G GROUP BY l_orderkey"
+)
+def cigar_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = [F.col(c.strip()) for c in _ORD.split(",")]
+    r = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*cols)).alias("i"), F.row_number().over(Window.partitionBy("l_orderkey", "l_returnflag").orderBy(*cols)).alias("j"))
+    g = r.groupBy("l_orderkey", "l_returnflag", (F.col("i") - F.col("j")).alias("g")).agg(F.min("i").alias("s"), F.count(F.lit(1)).alias("n"))
+    runs = F.array_sort(F.collect_list(F.struct("s", F.concat(F.col("n").cast("string"), "l_returnflag").alias("t"))))
+    return g.groupBy("l_orderkey").agg(F.array_join(F.transform(runs, lambda x: x["t"]), "").alias("rle"))
+
+
+@query("SELECT o_orderkey, (o_orderkey & 65) = 65 AS first_paired, (o_orderkey & 4) <> 0 AS unmapped FROM orders")
+def flag_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "orders").select("o_orderkey", S.has_flag("o_orderkey", "paired", "first_in_pair").alias("first_paired"), S.has_flag("o_orderkey", "unmapped").alias("unmapped"))
+
+
+@query("SELECT p_partkey, p_size + 3 AS reference, p_size + 2 AS query FROM part")
+def cigar_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = S.parse_cigar(F.concat(F.lit("2S"), F.col("p_size").cast("string"), F.lit("M2I1D2N")))
+    return _t(spark, sf_dir, "part").select("p_partkey", S.reference_length(c).alias("reference"), S.query_length(c).alias("query"))
+
+
+@query("SELECT p_partkey, floor(log2(p_partkey))::INT AS f, ceil(log2(p_partkey))::INT AS c, bit_count(p_partkey)::INT AS b FROM part WHERE p_partkey > 0")
+def integer_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").where("p_partkey > 0").select("p_partkey", L.floor_log2("p_partkey").cast("int").alias("f"), L.ceil_log2("p_partkey").cast("int").alias("c"), L.bits("p_partkey")["count"].alias("b"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE length(text) >= 2000 GROUP BY lang")
+def record_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("lang", F.col("text").alias("seq"), F.lit(None).cast("string").alias("qual"))
+    return d.where(L.record_filter(min_length=2000)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_S}, {_K8}, D AS (SELECT DISTINCT lang, x FROM (SELECT lang, unnest(h) AS x FROM K JOIN documents USING (doc_id))) SELECT a.lang AS a, b.lang AS b, count(*) AS shared FROM D a JOIN D b ON a.x = b.x AND a.lang < b.lang GROUP BY a.lang, b.lang")
+def set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _seqs(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.explode(F.array_distinct(kmers.kmer_hash("s", 8))).alias("x")).distinct()
+    a, b = h.withColumnRenamed("lang", "a"), h.withColumnRenamed("lang", "b")
+    return a.join(b, "x").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
