@@ -33,7 +33,6 @@ def max_pseudoknot_depth(size: int = 51) -> int:
     return (size - 7) // 2
 
 
-@F.pandas_udf("array<array<struct<prob:double,partner:int>>>")
 def _pairs(structures: pd.Series, weights: pd.Series) -> pd.Series:
     def one(s: str | None, w: float) -> list | None:
         if s is None:
@@ -57,4 +56,4 @@ def _pairs(structures: pd.Series, weights: pd.Series) -> pd.Series:
 
 def bpp_from_structure(structure: str | Column, weight: float = 1.0) -> Column:
     """For each letter its partner with the weight as probability; brackets without a partner raise an error."""
-    return _pairs(_c(structure), F.lit(float(weight)))
+    return F.pandas_udf(_pairs, "array<array<struct<prob:double,partner:int>>>")(_c(structure), F.lit(float(weight)))
