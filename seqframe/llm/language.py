@@ -199,7 +199,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[st
         span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             texts = utf8(b.column(len(keep)))
-            own.look_up([w for t in texts for w in t.split()])  # the batch's unseen words at once
+            if own.languages:
+                own.look_up([w for t in texts for w in t.split()])  # the batch's unseen words at once
             rows = [own.spans(t, penalty) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[: len(keep)], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([[{"lang": x, "start": s, "end": e} for x, s, e in r[2]] for r in rows], span)],

@@ -135,7 +135,10 @@ def fit(docs: DataFrame, labelled: DataFrame, max_train: int = 3000, **options:
         model = train([t for _, _, t in rows], [x for _, x, _ in rows], **options)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.classes, model.effect.astype(np.float32), model.bias))], pa.binary())], ["model"])
 
-    classes, effect, bias = pickle.loads(map_batches(joined.repartition(1), run, "model binary").first()["model"])
+    made = map_batches(joined.repartition(1), run, "model binary").first()
+    if made is None:  # no rows, no task
+        return train([], [])
+    classes, effect, bias = pickle.loads(made["model"])
     return Model(classes, effect, bias)
 
 
