@@ -37,7 +37,7 @@ from seqframe.llm.util import map_batches, materialise, shared_dir
 MAGIC = b"SFSSTAB1"
 FOOTER = struct.Struct("<8Q8s8s")
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
-STORE = 700_000
+STORE = 1_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -244,8 +244,29 @@ class ByteTokenizer:
         self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.plain = self.lib.to_str().find('"ByteLevel"') >= 0 and self.lib.normalizer is None
+        self.sizes = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), np.int64)  # bytes of each id: a byte is one letter of a token
+        for token, i in self.lib.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(token)
         self.store: dict[bytes, bytes] = {}
 
+    def _learn(self, unseen: list[bytes]) -> None:
+        """Store the ids of units. Those that begin with a space or newline are encoded in long texts, which
+        may be cut before each of them, and told apart by the bytes of their ids."""
+        first = [u for u in unseen if u[:1] == b"\0"]
+        for at in range(0, len(first), 4096):
+            for u, e in zip(first[at : at + 4096], self.batch([u[1:].decode() for u in first[at : at + 4096]], add_special_tokens=False), strict=True):
+                self.store[u] = np.array(e.ids, self.dtype).tobytes()
+        rest = [u for u in unseen if u[:1] != b"\0"]
+        for at in range(0, len(rest), 256):
+            units = rest[at : at + 256]
+            marked = [u if u[:1] == b"\n" else b" " + u for u in units]
+            ids = np.array(self.batch([b"".join(marked).decode()], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(m) for m in marked])) + 1
+            raw, start = ids.astype(self.dtype).tobytes(), 0
+            for u, end in zip(units, (ends * self.width).tolist(), strict=True):
+                self.store[u] = raw[start:end]
+                start = end
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out, split = [np.zeros(0, self.dtype)] * len(texts), {}
         get = self.store.get
@@ -260,14 +281,11 @@ class ByteTokenizer:
             units[0] = b"\0" + units[0]
             split[i] = units, list(map(get, units))
         unseen = list({u for units, found in split.values() if None in found for u, x in zip(units, found, strict=True) if x is None})
-        parts = [(u[1:] if u[:1] == b"\0" else u if u[:1] == b"\n" else b" " + u).decode() for u in unseen]
         if len(self.store) + len(unseen) > STORE:  # the words of this batch stay, frequent ones among them
             kept = {u: x for units, found in split.values() for u, x in zip(units, found, strict=True) if x is not None}
             self.store.clear()
             self.store.update(kept)
-        for at in range(0, len(parts), 8192):
-            for u, e in zip(unseen[at : at + 8192], self.batch(parts[at : at + 8192], add_special_tokens=False), strict=True):
-                self.store[u] = np.array(e.ids, self.dtype).tobytes()
+        self._learn(unseen)
         for i, (units, found) in split.items():
             out[i] = np.frombuffer(b"".join(map(self.store.__getitem__, units) if None in found else found), self.dtype)
         return out
