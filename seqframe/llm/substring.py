@@ -180,13 +180,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(w) for w in split], pa.int64()), pa.array([_summary(w) for w in split])], ["id", "d", "t", "n_words", "sha"])
 
     found = map_batches(keyed.select("d", "t", "text"), find, "g long, d long, t long, word int")
-    repeated = found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    again = materialise(found.join(repeated, "g").distinct(), "anchors")
+    # written first, so that the join deals both sides out anew and AQE can split a gram that is very frequent
+    repeated = materialise(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "repeated")
+    again = materialise(found.join(repeated, "g"), "anchors")
     owners = again.groupBy("g").agg(F.min(F.struct("d", "t")).alias("o")).select("g", F.col("o.d").alias("s_d"), F.col("o.t").alias("s_t"))
     places = again.join(owners, "g").groupBy("d", "t").agg(F.collect_list(F.struct("s_d", "s_t", "word")).alias("places"))
     # documents with repeated anchors, their texts and places
     touched = materialise(keyed.select("d", "t", "text").dropDuplicates(["d", "t"]).join(places, ["d", "t"]), "touched")
-    release(docs.sparkSession, again)
+    release(docs.sparkSession, repeated, again)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,6 +195,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for d, t, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), b.column(3), strict=True):
                 words = text.split()
                 s_d, s_t, word = (x.to_numpy(zero_copy_only=False) for x in at.values.flatten())
+                _, once = np.unique(word, return_index=True)  # rows that repeat a document repeat its places
+                s_d, s_t, word = s_d[once], s_t[once], word[once]
                 order = np.lexsort((word, s_t, s_d))
                 s_d, s_t, word = s_d[order], s_t[order], word[order]
                 edge = np.flatnonzero((s_d[1:] != s_d[:-1]) | (s_t[1:] != s_t[:-1])) + 1
