@@ -80,7 +80,8 @@ class Model:
         out[some, -1] = count
         return out
 
-    def look_up(self, words: list[bytes]) -> np.ndarray:
+    def learn(self, words: list[bytes]) -> None:
+        """Store the scores of a batch's words; a full store is emptied before, never within a batch."""
         if len(self.rows) > STORE:
             self.rows.clear()
             self.table = self.table[:0]
@@ -89,7 +90,14 @@ class Model:
             start = len(self.table)
             self.table = np.vstack([self.table, self.words(unseen)])
             self.rows.update(zip(unseen, range(start, start + len(unseen)), strict=True))
-        return self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        try:
+            at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            self.learn(words)
+            at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        return self.table[at]
 
     def path(self, scores: np.ndarray, penalty: float) -> np.ndarray:
         """Index of a language for each word; ties go to the language already taken, then to the first."""
@@ -158,11 +166,17 @@ def fit(docs: DataFrame, max_docs: int = 2000) -> Model:
         def flush() -> None:
             for lang, found in words.items():
                 t = total.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
+                flat: list[int] = []
+                often: list[int] = []
                 for w, n in found.items():
                     if letters := letters_of(w.decode("utf-8", "replace")):
-                        np.add.at(t, grams(letters), n)
-                        for s, m in Counter(map(script_of, letters)).items():
-                            t[BUCKETS + s] += n * m
+                        ids = grams(letters)
+                        scripts = {0: len(letters)} if letters.isascii() else Counter(map(script_of, letters))
+                        flat += ids
+                        often += [n] * len(ids)
+                        flat += [BUCKETS + s for s in scripts]
+                        often += [n * m for m in scripts.values()]
+                t += np.bincount(np.array(flat, np.int64), np.array(often, float), len(t)).astype(np.int64)
             words.clear()
 
         for b in batches:
@@ -200,7 +214,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[st
         for b in batches:
             texts = utf8(b.column(len(keep)))
             if own.languages:
-                own.look_up([w for t in texts for w in t.split()])  # the batch's unseen words at once
+                own.learn([w for t in texts for w in t.split()])  # the batch's unseen words at once
             rows = [own.spans(t, penalty) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[: len(keep)], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([[{"lang": x, "start": s, "end": e} for x, s, e in r[2]] for r in rows], span)],
