@@ -18,19 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.util import map_batches, utf8
+from seqframe.llm.util import gram_buckets, map_batches, utf8
 
 STORE = 200_000
+#: Words whose n-grams are hashed at once.
+BLOCK = 16_384
 
 
-def features(word: bytes, buckets: int, sizes: tuple[int, ...] = (3, 4)) -> list[int]:
-    """Buckets of a word and of the character n-grams of <word>; very long words count by all their n-grams too."""
-    crc = zlib.crc32
-    if word.isascii():
-        ascii_marked = b"<" + word + b">"
-        return [crc(word, 7) % buckets, *(crc(ascii_marked[i : i + n]) % buckets for n in sizes for i in range(len(ascii_marked) - n + 1))]
-    marked = f"<{word.decode('utf-8', 'replace')}>"
-    return [crc(word, 7) % buckets, *(crc(marked[i : i + n].encode("utf-8", "replace")) % buckets for n in sizes for i in range(len(marked) - n + 1))]
+def features(words: list[bytes], buckets: int, sizes: tuple[int, ...] = (3, 4)) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of the character n-grams of <word>, word after word, and how many each word has."""
+    whole = np.fromiter((zlib.crc32(w, 7) % buckets for w in words), np.int64, len(words))
+    return gram_buckets(b"\n".join(words).decode("utf-8", "replace").split("\n"), sizes, buckets, whole)
 
 
 @dataclass
@@ -52,12 +50,13 @@ class Model:
         unseen = list({w for w in words if w not in self.rows})
         if not unseen:
             return
-        found = [features(w, len(self.effect)) for w in unseen]
-        sizes = np.array([len(f) for f in found])
-        flat = np.fromiter((x for f in found for x in f), np.int64, int(sizes.sum()))
-        sums = np.add.reduceat(self.effect[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+        rows = [self.table]
+        for i in range(0, len(unseen), BLOCK):
+            flat, sizes = features(unseen[i : i + BLOCK], len(self.effect))
+            sums = np.add.reduceat(self.effect[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+            rows.append(np.column_stack([sums, sizes]))
         start = len(self.table)
-        self.table = np.vstack([self.table, np.column_stack([sums, sizes])])
+        self.table = np.vstack(rows)
         self.rows.update(zip(unseen, range(start, start + len(unseen)), strict=True))
 
     def posteriors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,20 +80,12 @@ def train(texts: list[bytes], labels: list[str], buckets: int = 1 << 16, dim: in
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
     out, bias = np.zeros((dim, len(classes))), np.zeros(len(classes))
-    known: dict[bytes, list[int]] = {}
     docs = []
     for t in texts:
-        flat: list[int] = []
-        weights: list[int] = []
-        for w, n in Counter(t.split()).items():
-            f = known.get(w)
-            if f is None:
-                f = known[w] = features(w, buckets)
-                if len(known) > STORE:
-                    known.clear()
-            flat += f
-            weights += [n] * len(f)
-        index, inverse = np.unique(np.array(flat, np.int64), return_inverse=True)
+        count = Counter(t.split())
+        flat, sizes = features(list(count), buckets) if count else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        weights = np.repeat(np.fromiter(count.values(), float, len(count)), sizes)
+        index, inverse = np.unique(flat, return_inverse=True)
         share = np.bincount(inverse, weights, len(index)) if len(index) else np.zeros(0)
         docs.append((index.astype(np.int32), (share / max(1, share.sum())).astype(np.float32)))
     target = np.array([classes.index(x) for x in labels])

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,34 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def gram_buckets(words: list[str], sizes: tuple[int, ...], buckets: int, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of each <word>, word after word, and how many each word has; whole adds one bucket a word.
+
+    All words lie in one array of code points, where a line feed, which no word holds, ends each of them.
+    """
+    units = np.frombuffer(("<" + ">\n<".join(words) + ">\n").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    last = units == 10
+    starts = np.r_[0, np.flatnonzero(last)[:-1] + 1]
+    values, good = [], []
+    if whole is not None:
+        values.append(np.zeros(len(units), np.int64))
+        values[0][starts] = whole
+        good.append(np.zeros(len(units), bool))
+        good[0][starts] = True
+    key, inside = units.copy(), ~last
+    for n in range(2, max(sizes) + 1):
+        key *= np.uint64(0x100000001B3)
+        key[: 1 - n] += units[n - 1 :]
+        inside[: 1 - n] &= ~last[n - 1 :]
+        inside[1 - n :] = False
+        if n in sizes:
+            mixed = key * np.uint64(0x9E3779B97F4A7C15)
+            values.append(((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64))
+            good.append(inside.copy())
+    picked = np.column_stack(good)
+    return np.column_stack(values)[picked], np.add.reduceat(picked.sum(axis=1), starts)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a long, b long); equal roots: connected.
 
