@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import functools
 import pickle
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.util import map_batches, utf8
+from seqframe.llm.util import gram_buckets, map_batches, utf8
 
 BUCKETS = 1 << 14
 STORE = 200_000
+#: Words whose n-grams are hashed at once.
+BLOCK = 16_384
 #: First and last code point of letter ranges, by script; other letters are one more script.
 SCRIPTS = [
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F),
@@ -41,13 +42,17 @@ def script_of(letter: str) -> int:
 
 
 def letters_of(word: str) -> str:
-    return word.lower() if word.isalpha() else "".join(c for c in word if c.isalpha()).lower()
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
-def grams(letters: str) -> list[int]:
-    """Buckets of the n-grams of the UTF-8 letters between word marks."""
-    marked, crc = b"<" + letters.encode("utf-8", "replace") + b">", zlib.crc32
-    return [crc(marked[i : i + n]) % BUCKETS for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
+def all_latin(letters: str) -> bool:
+    """Whether all letters lie in the first range of the Latin script."""
+    return letters.isascii() or max(letters) <= "\u024f"
+
+
+def grams(letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of each word's letters between word marks, and how many each word has."""
+    return gram_buckets(letters, (2, 3, 4), BUCKETS)
 
 
 class Model:
@@ -67,12 +72,10 @@ class Model:
         some = [i for i, x in enumerate(letters) if x]
         if not some:
             return out
-        found = [grams(letters[i]) for i in some]
-        sizes = np.array([len(f) for f in found])
-        flat = np.fromiter((x for f in found for x in f), np.int64, int(sizes.sum()))
+        flat, sizes = grams([letters[i] for i in some])
         count = np.array([len(letters[i]) for i in some])
-        score = np.add.reduceat(self.log[:, flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=1) / sizes * np.minimum(4.0, 1 + count / 3)
-        script = np.array([0 if letters[i].isascii() else Counter(map(script_of, letters[i])).most_common(1)[0][0] for i in some])
+        score = np.add.reduceat(self.log.T[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0).T / sizes * np.minimum(4.0, 1 + count / 3)
+        script = np.array([0 if all_latin(letters[i]) else Counter(map(script_of, letters[i])).most_common(1)[0][0] for i in some])
         allowed = self.allowed[:, script]
         allowed |= ~allowed.any(axis=0)
         score = np.where(allowed, score, score.min(axis=0) - 10)
@@ -88,7 +91,7 @@ class Model:
         unseen = list({w for w in words if w not in self.rows})
         if unseen:
             start = len(self.table)
-            self.table = np.vstack([self.table, self.words(unseen)])
+            self.table = np.vstack([self.table, *(self.words(unseen[i : i + BLOCK]) for i in range(0, len(unseen), BLOCK))])
             self.rows.update(zip(unseen, range(start, start + len(unseen)), strict=True))
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
@@ -166,17 +169,14 @@ def fit(docs: DataFrame, max_docs: int = 2000) -> Model:
         def flush() -> None:
             for lang, found in words.items():
                 t = total.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
-                flat: list[int] = []
-                often: list[int] = []
-                for w, n in found.items():
-                    if letters := letters_of(w.decode("utf-8", "replace")):
-                        ids = grams(letters)
-                        scripts = {0: len(letters)} if letters.isascii() else Counter(map(script_of, letters))
-                        flat += ids
-                        often += [n] * len(ids)
-                        flat += [BUCKETS + s for s in scripts]
-                        often += [n * m for m in scripts.values()]
-                t += np.bincount(np.array(flat, np.int64), np.array(often, float), len(t)).astype(np.int64)
+                letters = [(x, n) for x, n in ((letters_of(w.decode("utf-8", "replace")), n) for w, n in found.items()) if x]
+                for i in range(0, len(letters), BLOCK):
+                    block = letters[i : i + BLOCK]
+                    flat, sizes = grams([x for x, _ in block])
+                    t[:BUCKETS] += np.bincount(flat, np.repeat([float(n) for _, n in block], sizes), BUCKETS).astype(np.int64)
+                    for x, n in block:
+                        for s, m in ({0: len(x)} if all_latin(x) else Counter(map(script_of, x))).items():
+                            t[BUCKETS + s] += n * m
             words.clear()
 
         for b in batches:
