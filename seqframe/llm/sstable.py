@@ -257,19 +257,16 @@ class ByteTokenizer:
             for u, e in zip(first[at : at + 4096], self.batch([u[1:].decode() for u in first[at : at + 4096]], add_special_tokens=False), strict=True):
                 self.store[u] = np.array(e.ids, self.dtype).tobytes()
         rest = [u for u in unseen if u[:1] != b"\0"]
-        for at in range(0, len(rest), 256):
-            units = rest[at : at + 256]
+        for at in range(0, len(rest), 1024):
+            units = rest[at : at + 1024]
             marked = [u if u[:1] == b"\n" else b" " + u for u in units]
             ids = np.array(self.batch([b"".join(marked).decode()], add_special_tokens=False)[0].ids, np.int64)
             ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(m) for m in marked])) + 1
-            raw, start = ids.astype(self.dtype).tobytes(), 0
-            for u, end in zip(units, (ends * self.width).tolist(), strict=True):
-                self.store[u] = raw[start:end]
-                start = end
+            raw, cuts = ids.astype(self.dtype).tobytes(), [0, *(ends * self.width).tolist()]
+            self.store.update(zip(units, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))  # noqa: B905
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out, split = [np.zeros(0, self.dtype)] * len(texts), {}
-        get = self.store.get
         for i, t in enumerate(texts):
             if not t:
                 continue
@@ -277,17 +274,17 @@ class ByteTokenizer:
             if not self.plain or not self.splits(raw):
                 out[i] = np.array(self.batch([t], add_special_tokens=False)[0].ids, self.dtype)
                 continue
-            units = raw.replace(b"\n", b" \n").split(b" ")
+            units = split[i] = raw.replace(b"\n", b" \n").split(b" ")
             units[0] = b"\0" + units[0]
-            split[i] = units, list(map(get, units))
-        unseen = list({u for units, found in split.values() if None in found for u, x in zip(units, found, strict=True) if x is None})
+        distinct = set().union(*split.values())
+        unseen = distinct.difference(self.store)
         if len(self.store) + len(unseen) > STORE:  # the words of this batch stay, frequent ones among them
-            kept = {u: x for units, found in split.values() for u, x in zip(units, found, strict=True) if x is not None}
+            kept = {u: self.store[u] for u in distinct - unseen}
             self.store.clear()
             self.store.update(kept)
-        self._learn(unseen)
-        for i, (units, found) in split.items():
-            out[i] = np.frombuffer(b"".join(map(self.store.__getitem__, units) if None in found else found), self.dtype)
+        self._learn(list(unseen))
+        for i, units in split.items():
+            out[i] = np.frombuffer(b"".join(map(self.store.__getitem__, units)), self.dtype)
         return out
 
 
