@@ -6,6 +6,7 @@ GRAM consecutive words. So only windows whose minimiser occurs more than once in
 repeat, and such places, the anchors, are about a seventh of all words, few of them repeated.
 
 1. Anchors of all texts are counted; a repeated one belongs to the document of its earliest place.
+   Counts and places are salted, so that a very frequent anchor is spread over many tasks.
 2. That document's passages around its anchors are a reference shard. Every document's passages go
    to the shards of their anchors; neighbouring anchors of one shard share a passage. If a shard
    is asked for by very many passages, they are dealt to several tasks and the shard's passages go
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.llm.automaton import SuffixAutomaton
@@ -35,6 +36,8 @@ from seqframe.llm.util import map_batches, materialise, release, utf8
 WINDOW, GRAM = 20, 8
 #: Passages, and bytes of passages, of a shard for one task; a shard with more is dealt to several.
 DEAL, DEAL_BYTES = 256, 1 << 19
+#: Parts into which the rows of one gram, shard or digest are dealt for aggregations and joins.
+SALTS = 64
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -157,6 +160,19 @@ def _stream(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["d", "t", "first", "end", "digest"])
 
 
+def _with_totals(rows: DataFrame, keys: list[str], spread: list[str], part: Column, total: Column, where: str = "true") -> tuple[DataFrame, DataFrame]:
+    """(rows with an aggregate of all rows of their keys, table of those aggregates).
+
+    Neither the aggregation nor the join back sends all rows of one key to one task: rows are salted
+    by a hash of other columns, parts are aggregated by keys and salt, then by keys, and each total
+    goes back to the salts its key has, SALTS at most.
+    """
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    whole = rows.groupBy(*keys, "salt").agg(part).groupBy(*keys).agg(total, F.collect_list("salt").alias("salts")).where(where)
+    whole = materialise(whole.withColumn("salt", F.explode("salts")).drop("salts"), "totals")
+    return rows.join(whole, [*keys, "salt"]).drop("salt"), whole
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 (and kept, the words left joined by a space) of every row of docs.
 
@@ -180,14 +196,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(w) for w in split], pa.int64()), pa.array([_summary(w) for w in split])], ["id", "d", "t", "n_words", "sha"])
 
     found = map_batches(keyed.select("d", "t", "text"), find, "g long, d long, t long, word int")
-    # written first, so that the join deals both sides out anew and AQE can split a gram that is very frequent
-    repeated = materialise(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "repeated")
-    again = materialise(found.join(repeated, "g"), "anchors")
-    owners = again.groupBy("g").agg(F.min(F.struct("d", "t")).alias("o")).select("g", F.col("o.d").alias("s_d"), F.col("o.t").alias("s_t"))
-    places = again.join(owners, "g").groupBy("d", "t").agg(F.collect_list(F.struct("s_d", "s_t", "word")).alias("places"))
+    counts, repeated = _with_totals(found, ["g"], ["d", "word"], F.count(F.lit(1)).alias("n"), F.sum("n").alias("n"), "n > 1")
+    again = materialise(counts.drop("n"), "anchors")
+    owned, owners = _with_totals(again, ["g"], ["d", "word"], F.min(F.struct("d", "t")).alias("o"), F.min("o").alias("o"))
+    places = owned.groupBy("d", "t").agg(F.collect_list(F.struct(F.col("o.d").alias("s_d"), F.col("o.t").alias("s_t"), "word")).alias("places"))
     # documents with repeated anchors, their texts and places
     touched = materialise(keyed.select("d", "t", "text").dropDuplicates(["d", "t"]).join(places, ["d", "t"]), "touched")
-    release(docs.sparkSession, repeated, again)
+    release(docs.sparkSession, repeated, again, owners)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,9 +222,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["s_d", "s_t", "d", "t", "start", "passage"])
 
     passages = materialise(map_batches(touched, cut, "s_d long, s_t long, d long, t long, start int, passage binary"), "passages")
-    deals = passages.groupBy("s_d", "s_t").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("passage")).alias("bytes"))
-    deals = deals.select("s_d", "s_t", F.ceil(F.greatest(F.col("n") / DEAL, F.col("bytes") / DEAL_BYTES)).cast("int").alias("deals"))
-    asked = passages.join(deals, ["s_d", "s_t"])
+    share = F.sum(F.greatest(F.lit(1 / DEAL), F.length("passage") / DEAL_BYTES)).alias("share")
+    asked, _ = _with_totals(passages, ["s_d", "s_t"], ["d", "t", "start"], share, F.ceil(F.sum("share")).cast("int").alias("deals"))
     streamed = asked.withColumn("deal", F.pmod(F.xxhash64("d", "t", "start"), F.col("deals")).cast("int")).withColumn("reference", F.lit(False))
     shards = asked.where("deals > 1 AND s_d = d AND s_t = t").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).withColumn("reference", F.lit(True))
     columns = ["s_d", "s_t", "deal", "deals", "reference", "d", "t", "start", "passage"]
@@ -217,8 +231,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.sortWithinPartitions("s_d", "s_t", "deal", F.col("reference").desc(), "d", "t", "start")
     spans = materialise(map_batches(rows, lambda batches: _stream(batches, window), "d long, t long, first long, end long, digest binary", 2048), "spans")
     pending = spans.where("digest IS NOT NULL")
-    earliest = pending.groupBy("digest").agg(F.min(F.struct("d", "t", "first")).alias("at"))
-    later = pending.join(earliest, "digest").where(F.struct("d", "t", "first") > F.col("at")).select("d", "t", "first", "end")
+    timed, _ = _with_totals(pending, ["digest"], ["d", "first"], F.min(F.struct("d", "t", "first")).alias("at"), F.min("at").alias("at"))
+    later = timed.where(F.struct("d", "t", "first") > F.col("at")).select("d", "t", "first", "end")
     removed = spans.where("digest IS NULL").select("d", "t", "first", "end").union(later).groupBy("d", "t").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
