@@ -36,7 +36,7 @@ from seqframe.llm.util import map_batches, materialise, release, utf8
 WINDOW, GRAM = 20, 8
 #: Passages, and bytes of passages, of a shard for one task; a shard with more is dealt to several.
 DEAL, DEAL_BYTES = 256, 1 << 19
-#: Parts into which the rows of one gram, shard or digest are dealt for aggregations and joins.
+#: Parts into which the rows of one gram, shard or digest are dealt for joins; 64 at most, bits of a long.
 SALTS = 64
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -160,16 +160,16 @@ def _stream(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["d", "t", "first", "end", "digest"])
 
 
-def _with_totals(rows: DataFrame, keys: list[str], spread: list[str], part: Column, total: Column, where: str = "true") -> tuple[DataFrame, DataFrame]:
+def _with_totals(rows: DataFrame, keys: list[str], spread: list[str], total: Column, where: str = "true") -> tuple[DataFrame, DataFrame]:
     """(rows with an aggregate of all rows of their keys, table of those aggregates).
 
-    Neither the aggregation nor the join back sends all rows of one key to one task: rows are salted
-    by a hash of other columns, parts are aggregated by keys and salt, then by keys, and each total
-    goes back to the salts its key has, SALTS at most.
+    The aggregation sends one row a task and key, with a bit for each salt that the key's rows have; the
+    join back is by keys and salt, a hash of other columns, so that no task gets all rows of one key.
     """
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    whole = rows.groupBy(*keys, "salt").agg(part).groupBy(*keys).agg(total, F.collect_list("salt").alias("salts")).where(where)
-    whole = materialise(whole.withColumn("salt", F.explode("salts")).drop("salts"), "totals")
+    whole = rows.groupBy(*keys).agg(total, F.expr("bit_or(shiftleft(1L, salt))").alias("salts")).where(where)
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1)
+    whole = materialise(whole.withColumn("salt", F.explode(salts)).drop("salts"), "totals")
     return rows.join(whole, [*keys, "salt"]).drop("salt"), whole
 
 
@@ -196,9 +196,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(w) for w in split], pa.int64()), pa.array([_summary(w) for w in split])], ["id", "d", "t", "n_words", "sha"])
 
     found = map_batches(keyed.select("d", "t", "text"), find, "g long, d long, t long, word int")
-    counts, repeated = _with_totals(found, ["g"], ["d", "word"], F.count(F.lit(1)).alias("n"), F.sum("n").alias("n"), "n > 1")
+    counts, repeated = _with_totals(found, ["g"], ["d", "word"], F.count(F.lit(1)).alias("n"), "n > 1")
     again = materialise(counts.drop("n"), "anchors")
-    owned, owners = _with_totals(again, ["g"], ["d", "word"], F.min(F.struct("d", "t")).alias("o"), F.min("o").alias("o"))
+    owned, owners = _with_totals(again, ["g"], ["d", "word"], F.min(F.struct("d", "t")).alias("o"))
     places = owned.groupBy("d", "t").agg(F.collect_list(F.struct(F.col("o.d").alias("s_d"), F.col("o.t").alias("s_t"), "word")).alias("places"))
     # documents with repeated anchors, their texts and places
     touched = materialise(keyed.select("d", "t", "text").dropDuplicates(["d", "t"]).join(places, ["d", "t"]), "touched")
@@ -222,8 +222,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["s_d", "s_t", "d", "t", "start", "passage"])
 
     passages = materialise(map_batches(touched, cut, "s_d long, s_t long, d long, t long, start int, passage binary"), "passages")
-    share = F.sum(F.greatest(F.lit(1 / DEAL), F.length("passage") / DEAL_BYTES)).alias("share")
-    asked, _ = _with_totals(passages, ["s_d", "s_t"], ["d", "t", "start"], share, F.ceil(F.sum("share")).cast("int").alias("deals"))
+    share = F.greatest(F.count(F.lit(1)) / DEAL, F.sum(F.length("passage")) / DEAL_BYTES)
+    asked, _ = _with_totals(passages, ["s_d", "s_t"], ["d", "t", "start"], F.ceil(share).cast("int").alias("deals"))
     streamed = asked.withColumn("deal", F.pmod(F.xxhash64("d", "t", "start"), F.col("deals")).cast("int")).withColumn("reference", F.lit(False))
     shards = asked.where("deals > 1 AND s_d = d AND s_t = t").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).withColumn("reference", F.lit(True))
     columns = ["s_d", "s_t", "deal", "deals", "reference", "d", "t", "start", "passage"]
@@ -231,7 +231,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.sortWithinPartitions("s_d", "s_t", "deal", F.col("reference").desc(), "d", "t", "start")
     spans = materialise(map_batches(rows, lambda batches: _stream(batches, window), "d long, t long, first long, end long, digest binary", 2048), "spans")
     pending = spans.where("digest IS NOT NULL")
-    timed, _ = _with_totals(pending, ["digest"], ["d", "first"], F.min(F.struct("d", "t", "first")).alias("at"), F.min("at").alias("at"))
+    timed, _ = _with_totals(pending, ["digest"], ["d", "first"], F.min(F.struct("d", "t", "first")).alias("at"))
     later = timed.where(F.struct("d", "t", "first") > F.col("at")).select("d", "t", "first", "end")
     removed = spans.where("digest IS NULL").select("d", "t", "first", "end").union(later).groupBy("d", "t").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
