@@ -175,6 +175,15 @@ def test_substring(docs, empty, monkeypatch, deal):
     assert substring.dedup_substrings(empty).count() == 0
 
 
+def test_totals_of_frequent_keys(spark):
+    rows = spark.range(5000).selectExpr("IF(id % 3 = 0, 0, id % 700) AS k", "id")
+    got, _ = substring._with_totals(rows, ["k"], ["id"], F.count(F.lit(1)).alias("n"), "n > 7")
+    count = {}
+    for r in rows.collect():
+        count[r.k] = count.get(r.k, 0) + 1
+    assert sorted(map(tuple, got.select("k", "id", "n").collect())) == sorted((r.k, r.id, count[r.k]) for r in rows.collect() if count[r.k] > 7)
+
+
 def test_iblt(spark, docs, empty):
     d = docs.where("doc_id IS NOT NULL").distinct()
     order = sorted(TEXTS, reverse=True)
