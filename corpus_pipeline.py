@@ -22,6 +22,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return stages.one_of_each_group(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As simhash_dedup, with links of texts of Jaccard similarity 0.8 or more besides those of few bits."""
+    return stages.one_of_each_group(docs, least_jaccard=0.8)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return stages.without_repeats(docs)
 
@@ -36,7 +41,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_id),
-    ("SimHash near-dedup", simhash_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("mixing to target weights", mixing),
     ("SentencePiece encoding and decoding", encoding),

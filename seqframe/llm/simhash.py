@@ -13,6 +13,12 @@ the links that connect a cell's members, never all pairs of it.
 
 Equal fingerprints are one node, so copies cost nothing. Cells fall as the number of distinct
 fingerprints times 3**-(32 / groups) at most 6e-4 of them, whatever the groups of copies.
+
+Texts of similarity 0.8 differ by 9 or 10 bits and more, where no grid of 64 bits is selective.
+Links by similarity come from MinHash instead: texts that agree in a band of minima are candidates,
+and sets of shingles, compared exactly, decide. A pair of Jaccard 0.8 misses all bands once in
+38,000 times. Each band's members meet its first one; after that only pairs of a band that no links
+connect yet are compared, so a group of near copies costs about its size.
 """
 
 from __future__ import annotations
@@ -22,41 +28,69 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqframe.llm.util import components, map_batches, materialise, utf8
 
 SEGMENTS = 32
 SEED = 42
+#: Bands of so many minima each.
+BANDS, MINIMA = 20, 4
+_ODD = np.random.default_rng(SEED).integers(0, 2**63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, shingle: int) -> list[bytes]:
+    """Lower-cased word shingles; no word: none; fewer words than a shingle: one."""
+    words = text.lower().split()
+    if len(words) <= shingle:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+
+
+def _hashes(text: bytes, shingle: int) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(x, SEED) for x in shingles(text, shingle)], dtype="<u8")
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """64-bit SimHash of lower-cased word shingles; no word: 0; fewer words than a shingle: one shingle."""
-    words = text.lower().split()
-    if not words:
+    return _simhash(_hashes(text, shingle))
+
+
+def _simhash(h: np.ndarray) -> int:
+    if not len(h):
         return 0
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        digest, join = xxhash.xxh64_intdigest, b" ".join
-        hashes = [digest(join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)), strict=False)]
-    h = np.array(hashes, dtype="<u8")
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):  # a bounded block of bits at a time
         ones += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp long): the fingerprint of every row; null texts count as empty."""
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band of minima of the hashes, none without a hash."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 1024):
+        np.minimum(least, (h[at : at + 1024, None] * _ODD).min(axis=0), out=least)
+    rows = least.reshape(BANDS, MINIMA)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, with_bands: bool = False) -> DataFrame:
+    """(id, fp long): the fingerprint of every row; null texts count as empty. with_bands adds (key long, bands array<long>) of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in utf8(b.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            hashes = [_hashes(t, shingle) for t in utf8(b.column(1))]
+            columns = [b.column(0), pa.array(np.array([_simhash(h) for h in hashes], dtype=np.uint64).view(np.int64))]
+            if with_bands:
+                columns += [b.column(2), pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "key", "bands"][: len(columns)])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, fp long")
+    more = [F.xxhash64(text_col).alias("key")] if with_bands else []
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more), run, "id long, fp long" + ", key long, bands array<long>" * with_bands)
 
 
 def unary_counts(fp: np.ndarray) -> np.ndarray:
@@ -151,17 +185,65 @@ def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
     return map_batches(grid.repartition("cell").sortWithinPartitions("cell"), search, "a long, b long", 16384)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(a, b): the fingerprints of those (x, y) of pairs whose texts (key, text) have sets of shingles of that Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(utf8(batch.column(0)), utf8(batch.column(1)), strict=True):
+                s, t = set(shingles(x, shingle)), set(shingles(y, shingle))
+                both = len(s & t)
+                if both >= least * (len(s) + len(t) - both):
+                    found.append((fingerprint(x, shingle), fingerprint(y, shingle)))
+            fp = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[:, 0]), pa.array(fp[:, 1])], ["a", "b"])
+
+    first, second = (texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in ("x", "y"))
+    return map_batches(pairs.join(first, "x").join(second, "y").select("text_x", "text_y"), run, "a long, b long", 64)
+
+
+def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
+    """Edges (a, b) between fingerprints that, with the edges near, connect all texts of that similarity which share a band.
+
+    fps is with_fingerprints(docs, with_bands=True). Equal texts are one node here, whatever their number.
+    """
+    nodes = fps.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    w = Window.partitionBy("band")
+    entries = nodes.select("key", "fp", F.explode("bands").alias("band")).withColumn("hub", F.min("key").over(w)).withColumn("last", F.max("key").over(w))
+    entries = materialise(entries.where("hub < last").drop("last"), "bands")
+    met = entries.select("key").distinct()
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(met, "key", "left_semi")
+    texts = materialise(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")
+    stars = entries.where("key <> hub").select(F.col("hub").alias("x"), F.col("key").alias("y")).distinct()
+    edges = materialise(_similar(stars, texts, shingle, least), "similar")
+    roots = components(near.union(edges))
+    named = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("band", "key", "hub", F.coalesce("root", "fp").alias("root"))
+    named = materialise(named, "named")
+    open_ = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    named = named.join(open_, "band", "left_semi")
+    one, other = named.select("band", "hub", F.col("key").alias("x"), F.col("root").alias("p")), named.select("band", F.col("key").alias("y"), F.col("root").alias("q"))
+    apart = one.join(other, (one["band"] == other["band"]) & (F.col("p") < F.col("q")) & (F.col("x") != F.col("hub")) & (F.col("y") != F.col("hub")))
+    pairs = materialise(apart.select("x", "y").distinct(), "pairs")
+    return edges.union(_similar(pairs, texts, shingle, least))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, least_jaccard: float | None = None) -> DataFrame:
     """(id, fingerprint, component_id) of every row of docs, by words of whole texts.
 
-    component_id is the smallest id that links of max_distance bits or fewer reach. Null and empty
+    component_id is the smallest id that links of max_distance bits or fewer reach, and with
+    least_jaccard also links of texts whose shingles have that Jaccard similarity or more. Null and empty
     texts have fingerprint 0 and are linked like others. Rows with equal ids or texts are all
     returned; ids that are null are returned and never name a component unless all its ids are
     null. Further columns of docs are ignored. An empty table gives an empty result.
     """
-    fps = materialise(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    fps = materialise(with_fingerprints(docs, id_col, text_col, shingle, least_jaccard is not None), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    roots = components(links(nodes, max_distance)).withColumnRenamed("node", "fp")
+    edges = links(nodes, max_distance)
+    if least_jaccard is not None:
+        near = materialise(edges, "near")
+        edges = near.union(similar_links(docs, fps, near, text_col, shingle, least_jaccard))
+    roots = components(edges).withColumnRenamed("node", "fp")
     joined = materialise(roots.join(nodes, "fp"), "roots")
     least = joined.groupBy("root").agg(F.min("first").alias("cid"))
     linked = joined.join(least, "root").select("fp", "cid")

@@ -22,9 +22,9 @@ def keep_language(docs: DataFrame) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc_id", F.col("kept").alias("text"), F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, least_jaccard: float | None = None) -> DataFrame:
     """The document with the smallest doc_id of every near-duplicate group (five-word shingles); of its repeated rows, one."""
-    groups = simhash.near_duplicates(docs, shingle=5, max_distance=4)
+    groups = simhash.near_duplicates(docs, shingle=5, max_distance=4, least_jaccard=least_jaccard)
     first = groups.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
     return kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars").select(*COLUMNS)

@@ -48,3 +48,35 @@ def test_stages(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for r in corpus_pipeline.encoding(spark, mixed, SF).collect():
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(lib.encode(want[r.doc_id] or "")).encode()).hexdigest()
+
+
+def test_near_dedup(spark):
+    """The pipeline's near-dedup against exact Jaccard similarity of all pairs and the links of 4 bits."""
+    assert corpus_pipeline.near_dedup in [f for _, f in corpus_pipeline.STAGES]
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows.append(" ".join(w))
+        for _ in range(3):
+            v = list(w)
+            for at in rng.choice(300, 4, replace=False):
+                v[at] = "other"
+            rows.append(" ".join(v))
+    rows += [rows[3], "few words", "few words", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [set(simhash.shingles((t or "").encode(), 5)) for t in rows]
+    fp = [simhash.fingerprint((t or "").encode(), 5) for t in rows]
+    like = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    kept, seen = set(), set()
+    for i in range(len(rows)):
+        stack = [] if i in seen else [i]
+        kept |= set(stack)
+        seen |= set(stack)
+        while stack:
+            j = stack.pop()
+            new = [k for k in range(len(rows)) if k not in seen and like(j, k)]
+            seen |= set(new)
+            stack += new
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == kept
+    assert len(kept) < corpus_pipeline.simhash_dedup(spark, docs, SF).count()
