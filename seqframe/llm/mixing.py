@@ -1,18 +1,22 @@
 """Mixing to target weights with soft membership of documents in domains.
 
-A classifier trained on the labelled table gives each document a posterior over the domains. The
-rates r_i >= 0 minimise the squared distance between expected domain tokens sum(r_i n_i p_i) and
-their targets, weighted by the inverse of M = sum(n_i p_i p_i') / S, by projected gradient steps
-
-    r_i <- max(0, r_i - p_i . g),    g = M^-1 (sum(r_i n_i p_i) - targets) / S.
-
-In the metric of the documents' tokens the step 1 is the inverse of the gradient's Lipschitz
-constant, so the steps converge. A document's rate follows from its posterior and the few vectors g
-alone; a step is one pass over (posterior, tokens) that sums one vector for each task.
+A classifier trained on the labelled table gives each document a posterior over the domains. Of the
+rates r_i >= 0 whose expected domain tokens sum(r_i n_i p_i) are the targets, those with the least
+sum(n_i (r_i - 1)^2) are
+
+    r_i = max(0, 1 + p_i . l),
+
+with one number l of each domain for all documents. Newton steps find l: where the rates of a set of
+documents are positive, the expected tokens change by sum(n_i p_i p_i') over that set. A step is one
+pass over (posterior, tokens) that sums these for a series of step lengths, of which the one with
+the least value of the convex dual is taken. A weight of the rates' own distance, lowered from 1 in
+RIDGES, makes the steps converge where targets are out of reach, too: then the rates go to those
+whose tokens are nearest.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +31,14 @@ from seqframe.llm.util import map_batches, materialise
 WEIGHTS = {"q0t0": 0.08, "q0t1": 0.01, "q1t0": 0.90, "q1t1": 0.01}
 
 
-def _rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    r = np.ones(len(p))
-    for g in steps:
-        r = np.maximum(0.0, r - p @ g)
-    return r
+#: Weights of the rates' distance against that of the tokens; the last moves met targets by less than the tolerance.
+RIDGES = 10.0 ** -np.arange(0, 13, 2)
+#: Step lengths tried in a pass.
+LENGTHS = 0.5 ** np.arange(12)
+
+
+def _rates(p: np.ndarray, dual: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, 1 + p @ dual)
 
 
 def _matrix(b: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +61,45 @@ def _total(table: DataFrame, d: int, fn) -> np.ndarray:  # noqa: ANN001
     return np.array([r.x for r in sorted(rows, key=lambda r: r.place)])
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep: str | None = None, max_train: int = 3000, steps: int = 25, tolerance: float = 1e-6) -> tuple[DataFrame, dict]:
-    """(table, report): doc_id, n_words, domain, p, rate of every row; targets, expected and natural tokens.
+def _solve(table: DataFrame, natural: np.ndarray, matrix: np.ndarray, target: np.ndarray, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(dual, expected tokens) for the targets; natural and matrix are the sums of n p and n p p'."""
+    d, size = len(target), natural.sum()
+    dual, expected, active, cost, far = np.zeros(d), natural, matrix, 0.5, np.inf  # all rates 1
+
+    def sums(p: np.ndarray, n: np.ndarray, duals: np.ndarray) -> np.ndarray:
+        out = []
+        for x in duals:
+            r = _rates(p, x)
+            out.append(np.concatenate([[n @ r**2 / 2], (n * r) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel()]))
+        return np.array(out).ravel()
+
+    for ridge in RIDGES:
+        while steps:
+            slope = (expected - target) / size + ridge * dual
+            if (np.abs(slope) * size <= tolerance / 10 * target).all():
+                break
+            steps -= 1
+            step = -np.linalg.solve(active / size + ridge * np.eye(d), slope)
+            duals = dual + LENGTHS[:, None] * step
+            found = _total(table, d, lambda p, n, x=duals: sums(p, n, x)).reshape(len(LENGTHS), -1)
+            value = lambda c, x: c - x @ target / size + ridge * x @ x / 2
+            costs = [value(c / size, x) for c, x in zip(found[:, 0], duals, strict=True)]
+            at = int(np.argmin(costs))
+            if not costs[at] < value(cost, dual):
+                break
+            dual, cost, expected, active = duals[at], found[at, 0] / size, found[at, 1 : d + 1], found[at, d + 1 :].reshape(d, d)
+        short = (expected - target) / size
+        if not steps or (np.abs(short) * size <= tolerance * target).all() or short @ short > 0.99 * far:
+            break
+        far = short @ short
+    return dual, expected
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep: str | None = None, max_train: int = 3000, steps: int = 100, tolerance: float = 1e-6) -> tuple[DataFrame, dict]:
+    """(table, report): doc_id, n_words, domain, p, rate of every row; targets, expected and natural tokens, and whether they met.
+
+    A domain has met its target within tolerance times the target. If some have not after the last
+    step, or no step gets nearer, a warning names them.
 
     Domains are the pairs q<quality>t<toxic> met among non-null labels (of more than max_train
     labelled rows, a sample by hashed identifier). weights are shares of the domains, scaled to sum
@@ -71,28 +115,25 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     sums = _total(table, d, lambda p, n: np.concatenate([n @ p, ((p * n[:, None]).T @ p).ravel()]))
     natural = sums[:d] if len(sums) else np.zeros(d)
     size, share = natural.sum(), np.array([(weights or WEIGHTS).get(x, 0.0) for x in names])
-    history, expected = np.zeros((0, d)), natural
-    target = natural
+    dual, expected, target = np.zeros(d), natural, natural
     if size > 0 and share.sum() > 0:
         share = share / share.sum()
         k = names.index(keep) if keep in names else -1
         target = share * (natural[k] / share[k] if k >= 0 and share[k] > 0 else size)
-        inverse = np.linalg.pinv(sums[d:].reshape(d, d) / size, rcond=1e-9, hermitian=True)
-        for _ in range(steps):
-            g = inverse @ (expected - target) / size
-            history = np.vstack([history, g])
-            before, expected = expected, _total(table, d, lambda p, n, h=history: (n * _rates(p, h)) @ p)
-            if np.abs(expected - before).max() <= tolerance * size:
-                break
+        dual, expected = _solve(table, natural, sums[d:].reshape(d, d), target, steps, tolerance)
+    met = np.abs(expected - target) <= tolerance * target
+    if not met.all():
+        short = ", ".join(f"{x}: {e:.0f} of {t:.0f}" for x, e, t, m in zip(names, expected, target, met, strict=True) if not m)
+        warnings.warn(f"mixing did not reach its targets (expected tokens of target): {short}", stacklevel=2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, _ = _matrix(b, d)
             domain = pa.array([names[x] for x in p.argmax(axis=1)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, domain, pa.array(_rates(p, history))], [*b.schema.names, "domain", "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, domain, pa.array(_rates(p, dual))], [*b.schema.names, "domain", "rate"])
 
     rated = map_batches(table, run, "doc_id long, p array<double>, n_words long, domain string, rate double", 8192)
-    report = {n: {"natural": a, "target": t, "expected": e} for n, a, t, e in zip(names, natural, target, expected, strict=True)}
+    report = {n: {"natural": a, "target": t, "expected": e, "met": bool(m)} for n, a, t, e, m in zip(names, natural, target, expected, met, strict=True)}
     return rated.select("doc_id", "n_words", "domain", "p", "rate"), report
 
 

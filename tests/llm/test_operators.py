@@ -126,6 +126,20 @@ def test_quality_and_mixing(spark, docs, empty):
     assert {r.rate for r in mixing.mix(docs, none)[0].collect()} == {1.0}
 
 
+def test_mixing_meets_every_target(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    mixed, report = mixing.mix(docs, labels, keep="q1t0")
+    rows, names = mixed.collect(), sorted(report)
+    total = sum(r.rate * r.n_words * np.array(r.p) for r in rows)
+    assert min(r.rate for r in rows) >= 0 and sum(r.rate == 0 for r in rows) > 0
+    for i, x in enumerate(names):
+        assert total[i] == pytest.approx(report[x]["target"], rel=1e-4) and report[x]["met"], x
+    few = spark.createDataFrame([(i, "good word here now", i % 2, 0) for i in range(40)], "doc_id long, text string, quality int, toxic int")
+    with pytest.warns(UserWarning, match="did not reach"):  # equal texts cannot be told apart
+        _, report = mixing.mix(few, few.select("doc_id", "quality", "toxic"), {"q0t0": 0.9, "q1t0": 0.1})
+    assert not all(x["met"] for x in report.values())
+
+
 def test_licences(docs, empty):
     for r in licenses.licence_labels(licenses.scan_licences(docs)).where("doc_id IS NOT NULL").collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), of(TEXTS[r.doc_id])))
