@@ -210,6 +210,35 @@ def hit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srch.count_hits(_hamming_hits(spark, sf_dir))
 
 
+_HAM_WHOLE = "WITH H AS (SELECT q.p_partkey AS query_id, p.p_partkey AS reference_id, i - 1 AS reference_begin_position, hamming(substr(p.p_name, i, length(q.p_name)), q.p_name) AS errors FROM part q, (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part) p WHERE length(substr(p.p_name, i, length(q.p_name))) = length(q.p_name))"
+
+
+def _whole_hits(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
+    """Hits of every row's whole name in all names: each distinct name is searched once, for all rows that have it."""
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
+    names = part.where("p_name IS NOT NULL").groupBy("p_name").agg(F.min("p_partkey").alias("first"))
+    hits = srch.search(names.select(F.col("first").alias("query_id"), F.col("p_name").alias("query")), names.select(F.col("first").alias("reference_id"), F.col("p_name").alias("text")), SearchConfig(substitution=1, **options), k=3)
+    rows = part.join(names, "p_name").select("p_partkey", "first")
+    asks, held = rows.select(F.col("p_partkey").alias("asks"), F.col("first").alias("query_id")), rows.select(F.col("p_partkey").alias("held"), F.col("first").alias("reference_id"))
+    hits = hits.join(asks, "query_id").join(held, "reference_id")
+    return hits.select(F.col("asks").alias("query_id"), F.col("held").alias("reference_id"), _one("reference_begin_position").alias("reference_begin_position"), _one("errors").alias("errors"))
+
+
+@query(f"{_HAM_WHOLE} SELECT * FROM H WHERE errors <= 1")
+def search_hamming_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_hits(spark, sf_dir)
+
+
+@query(f"{_HAM_WHOLE} SELECT query_id, reference_id, reference_begin_position, errors FROM (SELECT *, min(errors) OVER (PARTITION BY query_id) AS b FROM H WHERE errors <= 1) WHERE errors = b")
+def hit_best_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_hits(spark, sf_dir, hit="all_best")
+
+
+@query(f"{_HAM_WHOLE} SELECT query_id, count(*) AS n FROM H WHERE errors <= 1 GROUP BY query_id")
+def hit_count_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return srch.count_hits(_whole_hits(spark, sf_dir))
+
+
 @query(f"WITH {_S}, {_K8}, P AS (SELECT DISTINCT lang, x FROM (SELECT lang, unnest(h) AS x FROM K JOIN documents USING (doc_id) WHERE doc_id % 2 = 0)), V AS (SELECT unnest(h) AS x FROM K WHERE doc_id % 2 = 1) SELECT lang AS bin, count(*) AS n FROM P JOIN V USING (x) GROUP BY lang")
 def bin_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _seqs(spark, sf_dir).select("doc_id", F.explode(kmers.kmer_hash("s", 8)).alias("x"))

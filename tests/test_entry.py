@@ -19,3 +19,11 @@ def test_oracle(spark, name):
 
 def test_entry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["search_hamming_whole", "hit_best_whole", "hit_count_whole"])
+def test_whole_names(spark, name):
+    """Every row of part asks with its whole name."""
+    test_oracle(spark, name)
+    asked = {r.query_id for r in base.queries()[name](spark, SF).select("query_id").collect()}
+    assert asked == {r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
