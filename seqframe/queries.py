@@ -185,6 +185,15 @@ def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "reference_id", _one("reference_begin_position").alias("reference_begin_position"))
 
 
+@query(
+    "WITH d AS (SELECT item_id AS query_id, doc_id AS reference_id, documents.text, benchmark.text AS q FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)) SELECT query_id, reference_id, i - 1 AS reference_begin_position FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM d) WHERE substr(text, i, length(q)) = q"
+)
+def search_exact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = srch.search(whole, _haystack(spark, sf_dir), k=16)
+    return hits.select("query_id", "reference_id", _one("reference_begin_position").alias("reference_begin_position"))
+
+
 _HAM = "WITH q AS (SELECT p_partkey AS query_id, substr(p_name, 1, 9) AS q FROM part WHERE p_partkey <= 40), H AS (SELECT q.query_id, p.p_partkey AS reference_id, i - 1 AS reference_begin_position, hamming(substr(p.p_name, i, 9), q.q) AS errors FROM q, (SELECT p_partkey, p_name, unnest(range(1, length(p_name) - 7)) AS i FROM part) p WHERE length(q.q) = 9 AND length(substr(p.p_name, i, 9)) = 9)"
 
 

@@ -27,3 +27,9 @@ def test_whole_names(spark, name):
     test_oracle(spark, name)
     asked = {r.query_id for r in base.queries()[name](spark, SF).select("query_id").collect()}
     assert asked == {r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+
+
+@pytest.mark.parametrize("name", ["search_exact_whole"])
+def test_whole_tables(spark, name):
+    test_oracle(spark, name)
+    assert base.queries()[name](spark, SF).count() > 0
