@@ -255,6 +255,12 @@ def bin_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.exact_bin_count(h.where("doc_id % 2 = 0").join(lang, "doc_id"), h.where("doc_id % 2 = 1"), "x", "lang")
 
 
+@query(f"WITH {_S}, {_K8}, V AS (SELECT doc_id, unnest(h) AS x FROM K), P AS (SELECT DISTINCT lang, x FROM V JOIN documents USING (doc_id)) SELECT lang AS bin, count(*) AS n FROM P JOIN V USING (x) GROUP BY lang")
+def bin_count_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _seqs(spark, sf_dir).select("doc_id", F.explode(kmers.kmer_hash("s", 8)).alias("x"))
+    return filters.exact_bin_count(h.join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"), h, "x", "lang")
+
+
 @query(
     "WITH V AS (SELECT p_partkey, (p_partkey::UHUGEINT * 13572355802537770549::UHUGEINT) % 18446744073709551616::UHUGEINT AS a FROM part), W AS (SELECT p_partkey, (xor(a, a // 18014398509481984::UHUGEINT) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS h FROM V) SELECT p_partkey, CAST((h * 1019::UHUGEINT) // 18446744073709551616::UHUGEINT AS BIGINT) AS slot FROM W"
 )
@@ -289,6 +295,12 @@ def anti_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)")
+def anti_prefilter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+
+
 _ORD = "l_linenumber, l_partkey, l_suppkey, l_shipdate"
 
 

@@ -29,7 +29,7 @@ def test_whole_names(spark, name):
     assert asked == {r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
 
 
-@pytest.mark.parametrize("name", ["search_exact_whole"])
+@pytest.mark.parametrize("name", ["search_exact_whole", "bin_count_whole", "anti_prefilter_whole"])
 def test_whole_tables(spark, name):
     test_oracle(spark, name)
-    assert base.queries()[name](spark, SF).count() > 0
+    assert base.queries()[name](spark, SF).count() > 0 or name == "anti_prefilter_whole"
