@@ -67,15 +67,20 @@ class Lists:
 
 
 def adaptive_scan(query: np.ndarray, rows: np.ndarray, bound: float, block: int, eps: float) -> np.ndarray:
-    """Indices of the rows that no test has abandoned; bound is the squared distance to beat (inf: none)."""
+    """Indices of the rows that no test has abandoned; bound is the squared distance to beat (inf: none).
+
+    Query and rows may have been rotated by products that round differently, so a bound of 0 has
+    slack in proportion to the squared sizes of the query and the rows.
+    """
     left, dim = np.arange(len(rows)), len(query)
+    slack = 1e-24 * dim * max(query @ query, np.einsum("ij,ij->i", rows, rows).max(initial=0.0))
     partial = np.zeros(len(rows))
     for at in range(0, dim, block):
         part = rows[left, at : at + block] - query[at : at + block]
         partial = partial + np.einsum("ij,ij->i", part, part)
         seen = min(dim, at + block)
         limit = bound if seen == dim else bound * (seen / dim) * (1 + eps / np.sqrt(seen)) ** 2
-        stay = partial <= limit * (1 + 1e-9)
+        stay = partial <= limit * (1 + 1e-9) + slack
         left, partial = left[stay], partial[stay]
         if not len(left):
             break
@@ -129,7 +134,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 64,
     probing = probing.join(F.broadcast(chunks), "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     columns = ["list", "chunk", "asks", "id", "v"]
     met = stored.withColumn("asks", F.lit(False)).select(columns).union(probing.withColumn("asks", F.lit(True)).select(columns))
-    met = met.repartition("list", "chunk").sortWithinPartitions("list", "chunk", "asks")
+    met = met.repartition("list", "chunk").sortWithinPartitions("list", "chunk", "asks", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)

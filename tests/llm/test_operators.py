@@ -235,3 +235,15 @@ def test_neighbours(spark):
     assert hit / 80 >= 0.9 and set(got) == set(range(0, 400, 50))
     assert [i for i, _ in (got[100][k] for k in range(1, 11))] == list(range(101, 111))
     assert ann.search(v.limit(0), v).count() == 0
+
+
+def test_neighbours_many_copies(spark):
+    """More copies of a query than a block has rows: ties go to the smallest ids."""
+    x = np.random.default_rng(4).normal(size=(3000, 64))
+    x[:2000] = x[0]
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in np.random.default_rng(1).permutation(3000).tolist()], "vec_id long, embedding array<double>").repartition(5)
+    got = ann.search(v, v.where("vec_id IN (0, 1500)"), k=10).collect()
+    assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 1500)} == {0: list(range(1, 11)), 1500: list(range(10))}
+    rows = x[:2000] @ np.linalg.qr(np.random.default_rng(7).normal(size=(64, 64)))[0]
+    near = rows + 1e-15 * np.random.default_rng(2).normal(size=rows.shape)
+    assert len(ann.adaptive_scan(rows[0], near, 0.0, 16, 1.8)) == 2000
