@@ -103,10 +103,16 @@ class Model:
         return self.table[at]
 
     def path(self, scores: np.ndarray, penalty: float) -> np.ndarray:
-        """Index of a language for each word; ties go to the language already taken, then to the first."""
+        """Index of a language for each word; ties go to the language already taken, then to the first.
+
+        No path beats the best single language if no stretch of another gains more than the penalty,
+        and a beginning and an end in others together gain no more than one penalty: of s switches,
+        s - 1 are then paid for by the stretches between those two at best.
+        """
         best = int(scores.sum(axis=0).argmax())
         gain = np.cumsum(np.vstack([np.zeros(scores.shape[1]), scores - scores[:, [best]]]), axis=0)
-        if ((gain - np.minimum.accumulate(gain, axis=0)).max(axis=0) <= penalty).all():
+        within = (gain - np.minimum.accumulate(gain, axis=0)).max()
+        if within <= penalty and gain.max() + (gain[-1] - gain).max() <= penalty:
             return np.full(len(scores), best)
         return self.viterbi(scores, penalty)
 

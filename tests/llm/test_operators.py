@@ -247,3 +247,15 @@ def test_neighbours_many_copies(spark):
     rows = x[:2000] @ np.linalg.qr(np.random.default_rng(7).normal(size=(64, 64)))[0]
     near = rows + 1e-15 * np.random.default_rng(2).normal(size=rows.shape)
     assert len(ann.adaptive_scan(rows[0], near, 0.0, 16, 1.8)) == 2000
+
+
+def test_language_joint_path():
+    """Two languages that each gain less than the penalty over the best single one can win together."""
+    model = language.Model(["a", "b", "c"], np.zeros((3, language.BUCKETS)), np.zeros((3, len(language.NAMES))))
+    s = np.array([[0.0, -99.0, -7.0], [-99.0, 0.0, -7.0]])
+    assert model.path(s, 8.0).tolist() == [0, 1]
+    rng = np.random.default_rng(1)
+    for _ in range(2000):
+        s = rng.normal(size=(rng.integers(1, 8), 4)) * 4
+        value = lambda p, s=s: s[np.arange(len(p)), p].sum() - 8 * (np.diff(p) != 0).sum()
+        assert value(model.path(s, 8.0)) == pytest.approx(value(language.Model.viterbi(s, 8.0)))
