@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.util import gram_buckets, map_batches, utf8
+from seqframe.llm.util import WordRows, distinct_words, gram_buckets, map_batches, utf8
 
 BUCKETS = 1 << 14
 STORE = 200_000
@@ -62,8 +62,11 @@ class Model:
         self.log = np.log((counts + 0.2) / (counts.sum(axis=1, keepdims=True) + 0.2 * BUCKETS))
         share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
         self.allowed = share > 0.001
-        self.rows: dict[bytes, int] = {}
-        self.table = np.zeros((0, len(languages) + 1))
+        self.counts, self.scripts = counts, scripts
+        self.known = WordRows(self.words, block=BLOCK)
+
+    def __reduce__(self) -> tuple:
+        return Model, (self.languages, self.counts, self.scripts)
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """Scores of each word for the languages, then its letters; without letters all zero."""
@@ -83,25 +86,6 @@ class Model:
         out[some, -1] = count
         return out
 
-    def learn(self, words: list[bytes]) -> None:
-        """Store the scores of a batch's words; a full store is emptied before, never within a batch."""
-        if len(self.rows) > STORE:
-            self.rows.clear()
-            self.table = self.table[:0]
-        unseen = list({w for w in words if w not in self.rows})
-        if unseen:
-            start = len(self.table)
-            self.table = np.vstack([self.table, *(self.words(unseen[i : i + BLOCK]) for i in range(0, len(unseen), BLOCK))])
-            self.rows.update(zip(unseen, range(start, start + len(unseen)), strict=True))
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        try:
-            at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self.learn(words)
-            at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        return self.table[at]
-
     def path(self, scores: np.ndarray, penalty: float) -> np.ndarray:
         """Index of a language for each word; ties go to the language already taken, then to the first.
 
@@ -138,12 +122,8 @@ class Model:
             at = back[i, at]
         return out
 
-    def spans(self, text: bytes, penalty: float = 8.0) -> tuple[str, float, list[tuple[str, int, int]]]:
-        """(language, its share of the letters, spans (language, first word, end)); und without letters."""
-        words = text.split()
-        if not words or not self.languages:
-            return "und", 0.0, []
-        found = self.look_up(words)
+    def spans(self, found: np.ndarray, penalty: float = 8.0) -> tuple[str, float, list[tuple[str, int, int]]]:
+        """(language, its share of the letters, spans (language, first word, end)) of words' rows; und without letters."""
         letters = found[:, -1]
         total = letters.sum()
         if not total:
@@ -154,6 +134,14 @@ class Model:
         top = int(share.argmax())
         return self.languages[top], float(share[top] / total), [(self.languages[path[a]], int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def identify(self, texts: pa.Array, penalty: float = 8.0) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
+        """spans() of every text of a block."""
+        starts, number, words = distinct_words(texts)
+        if not self.languages or not len(words):
+            return [("und", 0.0, [])] * len(texts)
+        rows = self.known.rows(words, np.bincount(number, minlength=len(words)))
+        return [self.spans(rows[number[a:b]], penalty) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
 
 def fit(docs: DataFrame, max_docs: int = 2000) -> Model:
     """Model of the rows of docs (doc_id, text, lang) with a language: of each language all rows, or about max_docs by hashed doc_id.
@@ -218,10 +206,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[st
         own = _loaded(shared.value)
         span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            texts = utf8(b.column(len(keep)))
-            if own.languages:
-                own.learn([w for t in texts for w in t.split()])  # the batch's unseen words at once
-            rows = [own.spans(t, penalty) for t in texts]
+            rows = own.identify(b.column(len(keep)), penalty)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[: len(keep)], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([[{"lang": x, "start": s, "end": e} for x, s, e in r[2]] for r in rows], span)],
                 [*keep, "lang_pred", "score", "spans"],

@@ -10,7 +10,7 @@ A shard holds a range of documents in ascending order of their identifier:
 
 Every part is followed by one newline byte, so a shard is a text file of one row for each part:
 Spark's committed text writer stores it on any file system, and a lost executor's task is simply
-run again. A key is the identifier as eight big-endian bytes, sign flipped, so bytes sort as
+run again. Shards are cut by bytes, so whoever reads one holds a bounded part of the documents. A key is the identifier as eight big-endian bytes, sign flipped, so bytes sort as
 numbers; null sorts first as an empty key. A value is the ids as little-endian integers.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
 import re
 import struct
@@ -27,17 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm.util import map_batches, materialise, shared_dir
+from seqframe.llm.util import distinct_words, map_batches, materialise, shared_dir, utf8
 
 MAGIC = b"SFSSTAB1"
 FOOTER = struct.Struct("<8Q8s8s")
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
-STORE = 1_000_000
+#: Words encoded as one text.
+UNITS = 512
+#: Words kept with their ids; beyond that the store is emptied before a block.
+STORE = 500_000
+#: Parts of a full shard, and the bytes at which a shard ends.
+SHARD_PARTS, SHARD_BYTES = 1024, 64 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -75,14 +82,17 @@ def _bloom_places(key: bytes, bits: int) -> list[int]:
 
 
 class ShardWriter:
-    """Takes (doc_id, ids) in ascending order and yields the parts of a shard as they fill."""
+    """Takes (doc_id, ids) in ascending order and yields the parts of shards as they fill; each but the last has as many parts."""
 
-    def __init__(self, width: int) -> None:
-        self.width, self.dtype = width, np.dtype(f"<u{width}")
-        self.offset = self.docs = self.tokens = 0
+    def __init__(self, width: int, parts: int, size: int) -> None:
+        self.width, self.dtype, self.parts, self.size = width, np.dtype(f"<u{width}"), parts, size
+        self.pack = zstandard.ZstdCompressor(level=1)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.offset = self.docs = self.tokens = self.written = 0
         self.index: list[tuple[bytes, int, int, int, int]] = []
         self.digests: list[bytes] = []
-        self.pack = zstandard.ZstdCompressor(level=1)
         self._fresh()
 
     def _fresh(self) -> None:
@@ -91,6 +101,7 @@ class ShardWriter:
 
     def _part(self, part: bytes) -> bytes:
         self.offset += len(part) + 1
+        self.written += 1
         return part
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[bytes]:
@@ -108,6 +119,10 @@ class ShardWriter:
         self.digests.append(key)
         if len(self.body) >= BLOCK_BYTES:
             yield self._flush()
+            if self.written == self.parts - 3 or self.offset >= self.size:
+                while self.written < self.parts - 3:
+                    yield self._part(b"")
+                yield from self.finish()
 
     def _flush(self) -> bytes:
         tail = struct.pack(f"<{len(self.restarts)}II", *self.restarts, len(self.restarts))
@@ -117,19 +132,23 @@ class ShardWriter:
         return self._part(block)
 
     def finish(self) -> Iterator[bytes]:
+        """The parts that end the shard, if it has documents; what follows is another one."""
         if self.count:
             yield self._flush()
+        if not self.docs:
+            return
         bits = max(64, BLOOM_BITS * self.docs)
-        bloom = np.zeros((bits + 7) // 8, np.uint8)
+        bloom = np.zeros((bits + 7) // 8 * 8, bool)
         for key in self.digests:
-            for p in _bloom_places(key, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
+            bloom[_bloom_places(key, bits)] = True
+        bloom = np.packbits(bloom, bitorder="little").tobytes()
         index = b"".join(_varint(len(k)) + k + struct.pack("<4Q", *rest) for k, *rest in self.index)
         places = [self.offset, len(index)]
         yield self._part(index)
         places += [self.offset, len(bloom)]
-        yield self._part(bloom.tobytes())
+        yield self._part(bloom)
         yield FOOTER.pack(*places, bits, self.docs, self.tokens, self.width, b"\0" * 8, MAGIC)
+        self._begin()
 
 
 class Shard:
@@ -211,7 +230,7 @@ class Shard:
 
 
 class ByteTokenizer:
-    """Ids of a byte-level BPE by the tokenizers library; frequent words are asked for once.
+    """Ids of a byte-level BPE by the tokenizers library; each distinct word of a block is asked for once.
 
     A text cut before each single space and newline falls into parts that the pre-tokenizer treats
     alone, if it has no other white space, no two in a row, none at an end, and no special token.
@@ -222,14 +241,13 @@ class ByteTokenizer:
     FINE = bytes([10, *range(32, 127), *range(128, 192), *range(0xC2, 0xCA)])
     #: What must not be in such a text; the first of U+00A1 and below, of which some are white space.
     ODD = re.compile(b"\xc2[\x80-\xa0]|[ \n][ \n]|^[ \n]|[ \n]$|<\\|")
-    QUICK = (b"  ", b"\n\n", b" \n", b"\n ", b"<|", b"\xc2")
 
     @classmethod
     def splits(cls, text: bytes) -> bool:
         """Whether cutting the text changes none of its ids."""
         if text.translate(None, cls.FINE):
             return False
-        if any(x in text for x in cls.QUICK) or text[:1] in b" \n" or text[-1:] in b" \n":
+        if b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or b"<|" in text or b"\xc2" in text or text[:1] in b" \n" or text[-1:] in b" \n":
             return not cls.ODD.search(text)
         return True
 
@@ -247,44 +265,60 @@ class ByteTokenizer:
         self.sizes = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), np.int64)  # bytes of each id: a byte is one letter of a token
         for token, i in self.lib.get_vocab(with_added_tokens=False).items():
             self.sizes[i] = len(token)
-        self.store: dict[bytes, bytes] = {}
+        self._forget()
 
-    def _learn(self, unseen: list[bytes]) -> None:
-        """Store the ids of units. Those that begin with a space or newline are encoded in long texts, which
-        may be cut before each of them, and told apart by the bytes of their ids."""
-        first = [u for u in unseen if u[:1] == b"\0"]
+    def _forget(self) -> None:
+        self.store: dict[bytes, int] = {}  # words met several times in a block: their row in the two arrays
+        self.ids, self.ends = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+
+    def _learn(self, first: list[bytes], rest: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the units in a row, how many each has) of units that begin a text, then of others: those follow
+        a space or newline, are encoded in long texts, and are told apart by the bytes of their ids."""
+        counts, parts = [np.zeros(0, np.int64)], [np.zeros(0, self.dtype)]
         for at in range(0, len(first), 4096):
-            for u, e in zip(first[at : at + 4096], self.batch([u[1:].decode() for u in first[at : at + 4096]], add_special_tokens=False), strict=True):
-                self.store[u] = np.array(e.ids, self.dtype).tobytes()
-        rest = [u for u in unseen if u[:1] != b"\0"]
-        for at in range(0, len(rest), 1024):
-            units = rest[at : at + 1024]
-            marked = [u if u[:1] == b"\n" else b" " + u for u in units]
+            alone = [np.array(e.ids, self.dtype) for e in self.batch([u[1:].decode() for u in first[at : at + 4096]], add_special_tokens=False)]
+            counts.append(np.array([len(x) for x in alone]))
+            parts.extend(alone)
+        for at in range(0, len(rest), UNITS):
+            marked = [u if u[:1] == b"\n" else b" " + u for u in rest[at : at + UNITS]]
             ids = np.array(self.batch([b"".join(marked).decode()], add_special_tokens=False)[0].ids, np.int64)
             ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(m) for m in marked])) + 1
-            raw, cuts = ids.astype(self.dtype).tobytes(), [0, *(ends * self.width).tolist()]
-            self.store.update(zip(units, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))  # noqa: B905
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out, split = [np.zeros(0, self.dtype)] * len(texts), {}
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            raw = t.encode()
-            if not self.plain or not self.splits(raw):
-                out[i] = np.array(self.batch([t], add_special_tokens=False)[0].ids, self.dtype)
-                continue
-            units = split[i] = raw.replace(b"\n", b" \n").split(b" ")
-            units[0] = b"\0" + units[0]
-        distinct = set().union(*split.values())
-        unseen = distinct.difference(self.store)
-        if len(self.store) + len(unseen) > STORE:  # the words of this batch stay, frequent ones among them
-            kept = {u: self.store[u] for u in distinct - unseen}
-            self.store.clear()
-            self.store.update(kept)
-        self._learn(list(unseen))
-        for i, units in split.items():
-            out[i] = np.frombuffer(b"".join(map(self.store.__getitem__, units)), self.dtype)
+            counts.append(np.diff(np.r_[0, ends]))
+            parts.append(ids.astype(self.dtype))
+        return np.concatenate(parts), np.concatenate(counts)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a block; null counts as empty."""
+        raw = utf8(texts)
+        out = [np.zeros(0, self.dtype)] * len(raw)
+        fine = np.array([bool(t) and self.plain and self.splits(t) for t in raw], bool)
+        for i, t in enumerate(raw):
+            if t and not fine[i]:
+                out[i] = np.array(self.batch([t.decode()], add_special_tokens=False)[0].ids, self.dtype)
+        cut = np.flatnonzero(fine)
+        if not len(cut):
+            return out
+        marked = pc.binary_join_element_wise("\0", pc.replace_substring(texts.take(pa.array(cut)), "\n", " \n"), "")
+        starts, number, words = distinct_words(marked, " ")
+        if len(self.store) > STORE:
+            self._forget()
+        words = words.tolist()
+        row = np.fromiter(map(self.store.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unseen = np.flatnonzero(row < 0).tolist()
+        first, rest = [i for i in unseen if words[i][:1] == b"\0"], [i for i in unseen if words[i][:1] != b"\0"]
+        unseen = np.array(first + rest, np.int64)
+        ids, counts = self._learn([words[i] for i in first], [words[i] for i in rest])
+        flat, ends = np.concatenate([self.ids, ids]), np.r_[self.ends, self.ends[-1] + np.cumsum(counts)]
+        row[unseen] = len(self.ends) - 1 + np.arange(len(unseen))
+        at, size = ends[row][number], (ends[row + 1] - ends[row])[number]
+        stop = np.cumsum(size)
+        every = flat[np.arange(stop[-1]) + np.repeat(at - stop + size, size)]
+        stop = np.r_[0, stop][starts]
+        for i, lo, hi in zip(cut.tolist(), stop[:-1].tolist(), stop[1:].tolist(), strict=True):
+            out[i] = every[lo:hi]
+        often = np.bincount(number, minlength=len(words))[unseen] > 1
+        self.store.update(zip([words[i] for i in unseen[often].tolist()], range(len(self.ends) - 1, len(self.ends) - 1 + int(often.sum())), strict=True))
+        self.ids, self.ends = np.concatenate([self.ids, ids[np.repeat(often, counts)]]), np.r_[self.ends, self.ends[-1] + np.cumsum(counts[often])]
         return out
 
 
@@ -293,32 +327,36 @@ def _tokenizer(path: str) -> ByteTokenizer:
     return ByteTokenizer(path)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shards: int | None = None) -> None:
+def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None, shard_parts: int = SHARD_PARTS, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode whole texts, append end_id to each, and write shards in ascending order of the identifier.
 
-    Null texts count as empty. Rows of equal identifiers are all kept, in order of their texts; a
-    null identifier comes first. An empty table gives no shard with documents. The only shuffle
-    deals texts out by ranges of the identifier.
+    Null texts count as empty, a text of any length is one entry of one block. Rows of equal
+    identifiers are all kept, in order of a hash of their texts; a null identifier comes first. An
+    empty table gives no shard with documents. The only shuffle deals texts out by ranges of
+    identifier and hash, so that very many rows of one identifier fall into several ranges. A range
+    is as many shards as its bytes need: a shard of fewer than shard_parts parts is filled up with
+    empty ones, and Spark's writer begins a file after each shard_parts parts.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenizer(tokenizer)
-        writer = ShardWriter(coder.width)
+        writer = ShardWriter(coder.width, shard_parts, shard_bytes)
+        end = np.array(end_id, coder.dtype)
         for b in batches:
             parts = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist()), strict=True):
-                parts.extend(writer.add(doc_id, np.append(ids, np.array(end_id, ids.dtype))))
+            for doc_id, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1)), strict=True):
+                parts.extend(writer.add(doc_id, np.append(ids, end)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["part"])
-        if writer.docs:
-            for part in writer.finish():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], ["part"])
+        for part in writer.finish():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], ["part"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    map_batches(rows, run, "part binary", 256).select(F.col("part").cast("string").alias("value")).write.text(path)
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
+    rows = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    map_batches(rows, run, "part binary", size=16 << 20).select(F.col("part").cast("string").alias("value")).write.option("maxRecordsPerFile", shard_parts).text(path)
 
 
 def shard_files(spark: SparkSession, path: str) -> DataFrame:
@@ -352,18 +390,25 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     return map_batches(shard_files(spark, path), run, "doc_id long, ids array<long>", 1)
 
 
+def _place(name: str) -> tuple[int, int]:
+    """Task and file of a shard by its name; shards in this order are in that of their documents."""
+    task, file = re.search(r"part-(\d+)-.*-c(\d+)", name).groups()
+    return int(task), int(file)
+
+
 def token_shards(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shards just written.
 
     start counts the ids of all documents before it; the offsets of shards come from one row each.
+    Nulls, repeats and long texts are as write_shards() says; further columns are ignored.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     write_shards(docs, tokenizer, path)
     stored = materialise(read_shards(spark, path), "stored")
-    totals = stored.groupBy("shard").agg(F.sum("n_tokens").alias("total"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("least")).toLocalIterator()
+    totals = stored.groupBy("shard").agg(F.sum("n_tokens").alias("total")).toLocalIterator()
     offsets, before = [], 0
-    for r in sorted(totals, key=lambda r: (r.least, r.shard)):
+    for r in sorted(totals, key=lambda r: _place(r.shard)):
         offsets.append((r.shard, before))
         before += r.total
     table = spark.createDataFrame(offsets, "shard string, before long")

@@ -202,7 +202,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     places = owned.groupBy("d", "t").agg(F.collect_list(F.struct(F.col("o.d").alias("s_d"), F.col("o.t").alias("s_t"), "word")).alias("places"))
     # documents with repeated anchors, their texts and places
     touched = materialise(keyed.select("d", "t", "text").dropDuplicates(["d", "t"]).join(places, ["d", "t"]), "touched")
-    release(docs.sparkSession, repeated, again, owners)
+    release(repeated, again, owners)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

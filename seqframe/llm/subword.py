@@ -11,16 +11,14 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.util import gram_buckets, map_batches, utf8
+from seqframe.llm.util import WordRows, distinct_words, gram_buckets, map_batches, utf8
 
-STORE = 200_000
 #: Words whose n-grams are hashed at once.
 BLOCK = 16_384
 
@@ -31,45 +29,34 @@ def features(words: list[bytes], buckets: int, sizes: tuple[int, ...] = (3, 4))
     return gram_buckets(b"\n".join(words).decode("utf-8", "replace").split("\n"), sizes, buckets, whole)
 
 
-@dataclass
 class Model:
-    classes: list[str]
-    effect: np.ndarray  # bucket x class: vectors times output layer
-    bias: np.ndarray
-    rows: dict[bytes, int] = field(default_factory=dict)
-    table: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return {"classes": self.classes, "effect": self.effect, "bias": self.bias, "rows": {}, "table": None}
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Add the sums of unseen words to the store."""
-        if self.table is None or len(self.rows) > STORE:
-            self.rows.clear()
-            self.table = np.zeros((0, len(self.classes) + 1))
-        unseen = list({w for w in words if w not in self.rows})
-        if not unseen:
-            return
-        rows = [self.table]
-        for i in range(0, len(unseen), BLOCK):
-            flat, sizes = features(unseen[i : i + BLOCK], len(self.effect))
-            sums = np.add.reduceat(self.effect[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
-            rows.append(np.column_stack([sums, sizes]))
-        start = len(self.table)
-        self.table = np.vstack(rows)
-        self.rows.update(zip(unseen, range(start, start + len(unseen)), strict=True))
-
-    def posteriors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """classes; effect: bucket x class, vectors times output layer; bias."""
+
+    def __init__(self, classes: list[str], effect: np.ndarray, bias: np.ndarray) -> None:
+        self.classes, self.effect, self.bias = classes, effect, bias
+        self.known = WordRows(self._sums, block=BLOCK)
+
+    def __reduce__(self) -> tuple:
+        return Model, (self.classes, self.effect, self.bias)
+
+    def _sums(self, words: list[bytes]) -> np.ndarray:
+        """Sum of effects and number of features of each word."""
+        if not words:
+            return np.zeros((0, len(self.classes) + 1))
+        flat, sizes = features(words, len(self.effect))
+        return np.column_stack([np.add.reduceat(self.effect[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0, dtype=float), sizes])
+
+    def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(text x class probabilities, words of each text); a text without words has the bias alone."""
-        split = [t.split() for t in texts]
-        self._learn([w for words in split for w in words])
+        starts, number, words = distinct_words(texts)
         logits = np.tile(self.bias, (len(texts), 1)).astype(float)
-        for i, words in enumerate(split):
-            if words:
-                total = self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                logits[i] += total[:-1] / total[-1]
+        some = np.flatnonzero(np.diff(starts))
+        if len(some):
+            rows = self.known.rows(words, np.bincount(number, minlength=len(words)))
+            total = np.add.reduceat(rows[number], starts[some], axis=0)
+            logits[some] += total[:, :-1] / total[:, -1:]
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True), np.array([len(w) for w in split], np.int64)
+        return e / e.sum(axis=1, keepdims=True), np.diff(starts)
 
 
 def train(texts: list[bytes], labels: list[str], buckets: int = 1 << 16, dim: int = 10, epochs: int = 5, rate: float = 0.6, seed: int = 5) -> Model:
@@ -147,9 +134,9 @@ def posteriors(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _loaded(shared.value)
         for b in batches:
-            p, words = own.posteriors(utf8(b.column(len(keep))))
+            p, words = own.posteriors(b.column(len(keep)))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], flat, pa.array(words)], [*keep, "p", "n_words"])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_batches(docs.select(*keep, "text"), run, f"{fields}p array<double>, n_words long", 256)
+    return map_batches(docs.select(*keep, "text"), run, f"{fields}p array<double>, n_words long")

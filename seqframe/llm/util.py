@@ -2,61 +2,85 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts are some KB each, so a batch stays at a few MB.
-BATCH_ROWS = 512
+#: Rows and bytes of one block of rows that a function gets at once.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir; where none is set, a temporary one on a local master, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="seqframe-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqframe-"))
         found = spark.sparkContext.getCheckpointDir()
     return f"{found.rstrip('/')}/seqframe"
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that a lost executor costs no recomputation.
 
-    The shuffle files of the job that made it are then garbage; a collection on the driver lets
-    Spark's cleaner remove them.
+    The shuffle files of the job that made it are of no more use and go when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
+def release(*tables: DataFrame) -> None:
     """Delete tables made by materialise() that no later plan reads."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for table in tables:
+        context = table.sparkSession.sparkContext
         for parent in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+            path = context._jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """df.mapInArrow(fn, schema) with batches of so many rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for at in range(0, max(1, b.num_rows), step):
+            yield b.slice(at, step)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES) -> DataFrame:
+    """df.mapInArrow(fn, schema), where fn gets blocks of so many rows and about so many bytes at most.
+
+    The blocks are cut in the worker, from batches that Spark bounds by rows and bytes, so they
+    depend neither on the session's settings nor on what else is built or run in it. A row larger
+    than a block is a block of its own.
+    """
+    return df.mapInArrow(lambda batches: fn(_blocks(batches, rows, size)), schema)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -64,6 +88,52 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def distinct_words(texts: pa.Array, separator: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each text and the end, number of every word among the distinct ones, those as bytes).
+
+    Words are cut at each separator, or without one at runs of ASCII white space, where none is empty.
+    A null text counts as empty.
+    """
+    texts = texts.cast(pa.string()).fill_null("")
+    split = pc.ascii_split_whitespace(texts) if separator is None else pc.split_pattern(texts, separator)
+    starts = split.offsets.to_numpy().astype(np.int64)
+    flat = split.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
+    starts -= starts[0]
+    number, words = flat.indices.to_numpy(), flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    if separator is None:
+        empty = pc.index(flat.dictionary, pa.scalar("", flat.dictionary.type)).as_py()
+        if empty >= 0:  # before the first or after the last word of a text
+            kept = number != empty
+            starts = np.r_[0, np.cumsum(kept)][starts]
+            number = number[kept]
+    return starts, number, words
+
+
+class WordRows:
+    """A row of numbers for each word, found once per block and kept for words that a block has several times."""
+
+    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], limit: int = 200_000, block: int = 16_384) -> None:
+        self.compute, self.limit, self.block = compute, limit, block
+        self.store: dict[bytes, int] = {}
+        self.table: np.ndarray | None = None
+
+    def rows(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The rows of distinct words, of which a block has so many each."""
+        words = words.tolist()
+        if len(self.store) > self.limit:
+            self.store, self.table = {}, None
+        at = np.fromiter(map(self.store.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unseen = np.flatnonzero(at < 0)
+        new = [self.compute([words[i] for i in unseen[k : k + self.block].tolist()]) for k in range(0, len(unseen), self.block)] or [self.compute([])]
+        table = np.concatenate([*([] if self.table is None else [self.table]), *new])
+        start = len(table) - len(unseen)
+        at[unseen] = start + np.arange(len(unseen))
+        often = counts[unseen] > 1
+        self.store.update(zip([words[i] for i in unseen[often].tolist()], range(start, start + int(often.sum())), strict=True))
+        self.table = np.concatenate([table[:start], table[start:][often]])
+        return table[at]
+
+
 def gram_buckets(words: list[str], sizes: tuple[int, ...], buckets: int, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of each <word>, word after word, and how many each word has; whole adds one bucket a word.
 
