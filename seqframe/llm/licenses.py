@@ -9,6 +9,7 @@ template both advance; the chain's words over the template's are its coverage.
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -105,7 +106,11 @@ class LicenceScanner:
         return len(words), base, self.chain(matches) if matches else []
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Spans of templates: matches whose places in text and template both advance, with small gaps."""
+        """Spans of templates: matches whose places in text and template both advance, with small gaps.
+
+        The matches are maximal, so their starts and ends ascend together, and those that end within
+        gap words of a start are the only ones that can come before it in a chain.
+        """
         of: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         for s, e, state in matches:
             for t, end in self.ends.get(state, ()):
@@ -116,8 +121,10 @@ class LicenceScanner:
             best: list[tuple[int, int]] = []  # covered words and start of the best chain that ends with each match
             for k, (s, e, u, v) in enumerate(items):
                 top = (e - s, s)
-                for j in range(k - 1, max(-1, k - 65), -1):
+                for j in range(k - 1, -1, -1):
                     s2, e2, u2, v2 = items[j]
+                    if e2 < s - self.gap:  # ends ascend: no earlier match is near enough
+                        break
                     if s2 < s and u2 < u and -self.gap <= s - e2 <= self.gap and u - v2 <= self.gap:
                         over = max(0, e2 - s, v2 - u)
                         if over < e - s:
@@ -127,17 +134,20 @@ class LicenceScanner:
                 share = min(1.0, covered / self.sizes[t])
                 if share >= self.coverage:
                     spans.append((self.names[t], start, e, share))
-        kept: list[tuple[str, int, int, float]] = []
-        for span in sorted(spans, key=lambda x: (-x[3], x[1], x[2], x[0])):  # the best cover of overlapping spans of a template
-            if all(span[0] != k[0] or span[2] <= k[1] or span[1] >= k[2] for k in kept):
-                kept.append(span)
-        return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
+        kept: dict[str, list[tuple[int, int, float]]] = defaultdict(list)  # of each template, in order, none over another
+        for t, s, e, share in sorted(spans, key=lambda x: (-x[3], x[1], x[2], x[0])):  # the best cover of overlapping spans of a template
+            own = kept[t]
+            at = bisect.bisect_left(own, (s,))
+            if (not at or own[at - 1][1] <= s) and (at == len(own) or own[at][0] >= e):
+                own.insert(at, (s, e, share))
+        return sorted(((t, *x) for t, own in kept.items() for x in own), key=lambda x: (x[1], x[2], x[0]))
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """id, n_words, places array<start, label>, spans array<template, start, end, coverage> of every whole text.
 
-    Null and empty texts have no words and nothing found. Rows are independent; repeated rows repeat,
+    Null and empty texts have no words and nothing found; texts are streamed whole, whatever their
+    length. An empty table gives an empty result. Rows are independent; repeated rows repeat,
     further columns are ignored. Nothing is shuffled; the automaton depends on the templates alone.
     """
 

@@ -37,8 +37,13 @@ RIDGES = 10.0 ** -np.arange(0, 13, 2)
 LENGTHS = 0.5 ** np.arange(12)
 
 
-def _rates(p: np.ndarray, dual: np.ndarray) -> np.ndarray:
-    return np.maximum(0.0, 1 + p @ dual)
+def _floor(p: np.ndarray, kept: int, least: float) -> np.ndarray:
+    """least for documents likeliest of the domain kept, else 0."""
+    return np.where(p.argmax(axis=1) == kept, least, 0.0) if len(p) else np.zeros(0)
+
+
+def _rates(p: np.ndarray, dual: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    return np.maximum(floor, 1 + p @ dual)
 
 
 def _matrix(b: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +66,21 @@ def _total(table: DataFrame, d: int, fn) -> np.ndarray:  # noqa: ANN001
     return np.array([r.x for r in sorted(rows, key=lambda r: r.place)])
 
 
-def _solve(table: DataFrame, natural: np.ndarray, matrix: np.ndarray, target: np.ndarray, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """(dual, expected tokens) for the targets; natural and matrix are the sums of n p and n p p'."""
+def _solve(table: DataFrame, natural: np.ndarray, target: np.ndarray, kept: int, least: float, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(dual, expected tokens) for the targets; natural are the sums of n p."""
     d, size = len(target), natural.sum()
-    dual, expected, active, cost, far = np.zeros(d), natural, matrix, 0.5, np.inf  # all rates 1
+    dual, far = np.zeros(d), np.inf
 
     def sums(p: np.ndarray, n: np.ndarray, duals: np.ndarray) -> np.ndarray:
         out = []
+        floor = _floor(p, kept, least)
         for x in duals:
-            r = _rates(p, x)
-            out.append(np.concatenate([[n @ r**2 / 2], (n * r) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel()]))
+            r = _rates(p, x, floor)
+            out.append(np.concatenate([[n @ (r * (p @ x) - (r - 1) ** 2 / 2)], (n * r) @ p, ((p * (n * (r > floor))[:, None]).T @ p).ravel()]))
         return np.array(out).ravel()
 
+    first = _total(table, d, lambda p, n: sums(p, n, dual[None]))  # all rates 1, or their floors
+    cost, expected, active = first[0] / size, first[1 : d + 1], first[d + 1 :].reshape(d, d)
     for ridge in RIDGES:
         while steps:
             slope = (expected - target) / size + ridge * dual
@@ -95,8 +103,8 @@ def _solve(table: DataFrame, natural: np.ndarray, matrix: np.ndarray, target: np
     return dual, expected
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep: str | None = None, max_train: int = 3000, steps: int = 100, tolerance: float = 1e-6) -> tuple[DataFrame, dict]:
-    """(table, report): doc_id, n_words, domain, p, rate of every row; targets, expected and natural tokens, and whether they met.
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep: str | None = None, least: float = 0.0, max_train: int = 3000, steps: int = 100, tolerance: float = 1e-6, key: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, dict]:
+    """(table, report): key..., n_words, domain, p, rate of every row; targets, expected and natural tokens, and whether they met.
 
     A domain has met its target within tolerance times the target. If some have not after the last
     step, or no step gets nearer, a warning names them.
@@ -111,16 +119,17 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     usable = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.concat(F.lit("q"), "quality", F.lit("t"), "toxic").alias("label"))
     model = fit(docs, usable, max_train)
     names, d = model.classes, len(model.classes)
-    table = materialise(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model), "posteriors")
-    sums = _total(table, d, lambda p, n: np.concatenate([n @ p, ((p * n[:, None]).T @ p).ravel()]))
-    natural = sums[:d] if len(sums) else np.zeros(d)
+    rows = docs.select(*(F.col(c).cast("long").alias(c) for c in key), "text")
+    table = materialise(posteriors(rows, model, key), "posteriors")
+    sums = _total(table, d, lambda p, n: n @ p)
+    natural = sums if len(sums) else np.zeros(d)
     size, share = natural.sum(), np.array([(weights or WEIGHTS).get(x, 0.0) for x in names])
     dual, expected, target = np.zeros(d), natural, natural
+    k = names.index(keep) if keep in names else -1
     if size > 0 and share.sum() > 0:
         share = share / share.sum()
-        k = names.index(keep) if keep in names else -1
         target = share * (natural[k] / share[k] if k >= 0 and share[k] > 0 else size)
-        dual, expected = _solve(table, natural, sums[d:].reshape(d, d), target, steps, tolerance)
+        dual, expected = _solve(table, natural, target, k, least, steps, tolerance)
     met = np.abs(expected - target) <= tolerance * target
     if not met.all():
         short = ", ".join(f"{x}: {e:.0f} of {t:.0f}" for x, e, t, m in zip(names, expected, target, met, strict=True) if not m)
@@ -130,14 +139,14 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
         for b in batches:
             p, _ = _matrix(b, d)
             domain = pa.array([names[x] for x in p.argmax(axis=1)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, domain, pa.array(_rates(p, dual))], [*b.schema.names, "domain", "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, domain, pa.array(_rates(p, dual, _floor(p, k, least)))], [*b.schema.names, "domain", "rate"])
 
-    rated = map_batches(table, run, "doc_id long, p array<double>, n_words long, domain string, rate double", 8192)
+    rated = map_batches(table, run, "".join(f"`{c}` long, " for c in key) + "p array<double>, n_words long, domain string, rate double", 8192)
     report = {n: {"natural": a, "target": t, "expected": e, "met": bool(m)} for n, a, t, e, m in zip(names, natural, target, expected, met, strict=True)}
-    return rated.select("doc_id", "n_words", "domain", "p", "rate"), report
+    return rated.select(*key, "n_words", "domain", "p", "rate"), report
 
 
-def copies(rate: str = "rate", seed: int = 11) -> Column:
-    """How often a document enters the mixture: its rate rounded down or up by a hash of doc_id, right on average."""
-    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def copies(rate: str = "rate", key: tuple[str, ...] = ("doc_id",), seed: int = 11) -> Column:
+    """How often a document enters the mixture: its rate rounded down or up by a hash of its key, right on average."""
+    u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return F.floor(F.col(rate) + u)

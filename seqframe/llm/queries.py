@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.llm import ann, iblt, language, licenses, mixing, pieces, quality, simhash, sstable, substring
@@ -56,9 +56,13 @@ def op8_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, _ = mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep="q1t0")
+    mixed, report = mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep="q1t0")
     top = F.array_max("p")
-    return mixed.select("doc_id", "n_words", "domain", top.alias("posterior"), "rate", mixing.copies().alias("copies"))
+
+    def told(what: str) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for k, v in report.items() for x in (k, float(v[what])))), F.col("domain")).alias(f"domain_{what}")
+
+    return mixed.select("doc_id", "n_words", "domain", top.alias("posterior"), "rate", mixing.copies().alias("copies"), told("target"), told("expected"))
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,16 @@ Fingerprints are cut into two-bit segments. The bit counts of the 32 segments ar
 Manhattan distance to another point never exceeds the Hamming distance of the fingerprints. Writing
 a count 0, 1, 2 in unary (00, 01, 11) makes that distance the bit count of an XOR.
 
-Grid: the segments are dealt into groups = max_distance // 2 + 1 consecutive groups, so of two
-fingerprints within max_distance at least one group of counts differs by 1 at most (pigeonhole).
-Each fingerprint goes into its own cell of each group and into the cells one step up, where it
-meets every partner within distance 1. In a cell, a search from every own member drops partners by
-the Manhattan bound, verifies the rest by their Hamming distance, and emits only a spanning forest:
-the links that connect a cell's members, never all pairs of it.
+Grid: the segments are dealt into max_distance + z consecutive groups, so of two fingerprints within
+max_distance at least z groups agree in all counts (pigeonhole). Each choice of z groups is a grid,
+in which a fingerprint has one cell, by the counts of those groups. In a cell, a search from every
+member drops partners by the Manhattan bound, verifies the rest by their Hamming distance, and emits
+only a spanning forest: the links that connect a cell's members, never all pairs of it.
 
-Equal fingerprints are one node, so copies cost nothing. Cells fall as the number of distinct
-fingerprints times 3**-(32 / groups) at most 6e-4 of them, whatever the groups of copies.
+z grows with the number of distinct fingerprints, so that a cell's expected share of them falls from
+3e-5 (z = 2) by a factor of 20 for each step, and the work stays near the number of entries. A cell
+with more than LIMIT members is split into blocks; a task gets two of its blocks at a time. Equal
+fingerprints are one node, so copies cost nothing.
 
 Texts of similarity 0.8 differ by 9 or 10 bits and more, where no grid of 64 bits is selective.
 Links by similarity come from MinHash instead: texts that agree in a band of minima are candidates,
@@ -23,6 +24,8 @@ connect yet are compared, so a group of near copies costs about its size.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqframe.llm.util import components, map_batches, materialise, utf8
+from seqframe.llm.util import components, map_batches, materialise, release, utf8
 
 SEGMENTS = 32
 SEED = 42
+#: Members of a cell, or of two blocks of it at most twice as many, in one task.
+LIMIT = 1 << 18
+#: What an entry of the grid costs to shuffle, in comparisons.
+ENTRY_COST = 20
 #: Bands of so many minima each.
 BANDS, MINIMA = 20, 4
 _ODD = np.random.default_rng(SEED).integers(0, 2**63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,18 +86,18 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, with_bands: bool = False) -> DataFrame:
-    """(id, fp long): the fingerprint of every row; null texts count as empty. with_bands adds (key long, bands array<long>) of the text."""
+    """(id, key long, fp long): hash of the text and fingerprint of every row; null texts count as empty. with_bands adds bands array<long>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [_hashes(t, shingle) for t in utf8(b.column(1))]
-            columns = [b.column(0), pa.array(np.array([_simhash(h) for h in hashes], dtype=np.uint64).view(np.int64))]
+            hashes = [_hashes(t, shingle) for t in utf8(b.column(2))]
+            columns = [b.column(0), b.column(1), pa.array(np.array([_simhash(h) for h in hashes], dtype=np.uint64).view(np.int64))]
             if with_bands:
-                columns += [b.column(2), pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "key", "bands"][: len(columns)])
+                columns.append(pa.array([bands(h) for h in hashes], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "bands"][: len(columns)])
 
-    more = [F.xxhash64(text_col).alias("key")] if with_bands else []
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more), run, "id long, fp long" + ", key long, bands array<long>" * with_bands)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return map_batches(rows, run, "id long, key long, fp long" + ", bands array<long>" * with_bands)
 
 
 def unary_counts(fp: np.ndarray) -> np.ndarray:
@@ -100,46 +107,40 @@ def unary_counts(fp: np.ndarray) -> np.ndarray:
     return (low | high) | ((low & high) << np.uint64(1))
 
 
-def cells(fp: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, index of the fingerprint, own) of every entry in the grid."""
-    u = unary_counts(fp)
-    counts = np.stack([np.bitwise_count((u >> np.uint64(2 * s)) & np.uint64(3)) for s in range(SEGMENTS)]).astype(np.int64)
-    bounds = [round(g * SEGMENTS / groups) for g in range(groups + 1)]
-    every = np.arange(len(fp))
-    cell, index, own = [], [], []
-    for g in range(groups):
-        weights = 3 ** np.arange(bounds[g + 1] - bounds[g], dtype=np.int64)
-        part = counts[bounds[g] : bounds[g + 1]]
-        key = (weights @ part) * groups + g
-        cell.append(key)
-        index.append(every)
-        own.append(np.ones(len(fp), bool))
-        for weight, values in zip(weights, part, strict=True):
-            up = every[values < 2]
-            cell.append(key[up] + weight * groups)
-            index.append(up)
-            own.append(np.zeros(len(up), bool))
-    return np.concatenate(cell), np.concatenate(index), np.concatenate(own)
-
-
-def forest(fp: np.ndarray, own: np.ndarray, max_distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that connect what a cell links; own members may link to any member, others to own ones.
+def fineness(n: int, max_distance: int) -> int:
+    """z with the least work for n distinct fingerprints: entries, each with its expected partners and what an entry costs."""
+
+    def work(z: int) -> float:
+        groups = max_distance + z
+        return math.comb(groups, z) * (ENTRY_COST + n * (3 / 8) ** (SEGMENTS * z / groups))
+
+    return min(range(1, SEGMENTS - max_distance + 1), key=work)
+
+
+def cells(fp: np.ndarray, max_distance: int, z: int) -> np.ndarray:
+    """grid x fingerprint: the cell of every fingerprint in each grid, a 64-bit key that equal counts share."""
+    u, groups = unary_counts(fp), max_distance + z
+    bounds = [2 * round(g * SEGMENTS / groups) for g in range(groups + 1)]
+    masks = [(1 << hi) - (1 << lo) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    out = []
+    for i, chosen in enumerate(itertools.combinations(masks, z)):
+        key = (u & np.uint64(sum(chosen))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)
+        out.append((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))  # one to one for each i
+    return np.array(out, np.uint64)
+
+
+def forest(fp: np.ndarray, max_distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that connect what a cell links.
 
     Only members not yet reached are compared, so a tight group of n costs about n comparisons.
     """
     u, out = unary_counts(fp), []
     left = np.arange(len(fp))
     while len(left):
-        seeds = left[own[left]]
-        if not len(seeds):
-            break
-        front = [seeds[0]]
-        left = left[left != seeds[0]]
+        front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
             near = np.bitwise_count(u[left] ^ u[x]) <= max_distance  # lower bound
-            if not own[x]:
-                near &= own[left]
             if not near.any():
                 continue
             near[near] = np.bitwise_count(fp[left[near]] ^ fp[x]) <= max_distance  # exact
@@ -151,38 +152,52 @@ def forest(fp: np.ndarray, own: np.ndarray, max_distance: int) -> list[tuple[np.
     return out
 
 
-def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
+def links(distinct: DataFrame, max_distance: int = 4, limit: int = LIMIT) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all links."""
-    groups = max_distance // 2 + 1
+    n = distinct.count()
+    z = fineness(n, max_distance)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            cell, index, own = cells(fp, groups)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp[index].view(np.int64)), pa.array(own)], ["cell", "fp", "own"])
+            fp = b.column(0).to_numpy(zero_copy_only=False)
+            cell = cells(fp.view(np.uint64), max_distance, z)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel().view(np.int64)), pa.array(np.tile(fp, len(cell)))], ["cell", "fp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(cell: np.ndarray, fp: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        """Rows (cell, part, fp) in order of cell and part."""
+
+        def linked(cell: np.ndarray, part: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
             ends = np.r_[starts[1:], len(cell)]
-            some = (ends - starts > 1) & np.maximum.reduceat(own, starts)
-            found = [e for s, t in zip(starts[some], ends[some], strict=True) for e in forest(fp[s:t], own[s:t], max_distance)]
+            some = ends - starts > 1
+            found = [e for s, t in zip(starts[some], ends[some], strict=True) for e in forest(fp[s:t], max_distance)]
             a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (zip(*found, strict=True) if found else ((), ())))
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        kept = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)]
+        kept: list[list[np.ndarray]] = []
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            kept = [np.concatenate(x) for x in zip(kept, [new[0], new[1].view(np.uint64), new[2].astype(bool)], strict=True)]
-            done = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0  # the last cell may go on
-            if done:
-                yield linked(*(x[:done] for x in kept))
-                kept = [x[done:] for x in kept]
-        if len(kept[0]):
-            yield linked(*kept)
-
-    grid = map_batches(distinct.select("fp"), spread, "cell long, fp long, own boolean", 4096)
-    return map_batches(grid.repartition("cell").sortWithinPartitions("cell"), search, "a long, b long", 16384)
+            new[2] = new[2].view(np.uint64)
+            if not len(new[0]):
+                continue
+            if kept and (kept[-1][0][-1], kept[-1][1][-1]) == (new[0][-1], new[1][-1]):  # one cell goes on
+                kept.append(new)
+                continue
+            done = int(np.flatnonzero((new[0] != new[0][-1]) | (new[1] != new[1][-1]))[-1]) + 1 if (new[0][0], new[1][0]) != (new[0][-1], new[1][-1]) else 0
+            yield linked(*(np.concatenate(x) for x in zip(*kept, [x[:done] for x in new], strict=True)))
+            kept = [[x[done:] for x in new]]
+        if kept:
+            yield linked(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+
+    grid = map_batches(distinct.select("fp"), spread, "cell long, fp long", 4096).withColumn("part", F.lit(0).cast("long"))
+    if n > limit:  # otherwise no cell can have as many members
+        full = grid.groupBy("cell").count().where(F.col("count") > limit).select("cell", F.ceil(F.col("count") / limit).alias("blocks"))
+        split = grid.join(full, "cell", "left")
+        own, other = F.pmod(F.xxhash64("fp"), F.col("blocks")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        parts = F.when(F.col("blocks").isNotNull(), F.transform(other, lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o)))
+        grid = split.withColumn("part", F.explode(F.coalesce(parts, F.array("part"))))
+    grid = grid.select("cell", "part", "fp").repartition("cell", "part").sortWithinPartitions("cell", "part")
+    return map_batches(grid, search, "a long, b long", 1 << 16)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -217,7 +232,7 @@ def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, text_col: st
     texts = materialise(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")
     stars = entries.where("key <> hub").select(F.col("hub").alias("x"), F.col("key").alias("y")).distinct()
     edges = materialise(_similar(stars, texts, shingle, least), "similar")
-    roots = components(near.union(edges))
+    roots = materialise(components(near.union(edges)), "roots")
     named = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("band", "key", "hub", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "named")
     open_ = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
@@ -225,11 +240,30 @@ def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, text_col: st
     one, other = named.select("band", "hub", F.col("key").alias("x"), F.col("root").alias("p")), named.select("band", F.col("key").alias("y"), F.col("root").alias("q"))
     apart = one.join(other, (one["band"] == other["band"]) & (F.col("p") < F.col("q")) & (F.col("x") != F.col("hub")) & (F.col("y") != F.col("hub")))
     pairs = materialise(apart.select("x", "y").distinct(), "pairs")
-    return edges.union(_similar(pairs, texts, shingle, least))
+    found = materialise(edges.union(_similar(pairs, texts, shingle, least)), "similar")
+    release(entries, texts, edges, roots, named, pairs)
+    return found
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, least_jaccard: float | None = None) -> DataFrame:
+    """(id, key, fp, component_id, root) of every row: key is a hash of the text, root the same for all rows of a group."""
+    fps = materialise(with_fingerprints(docs, id_col, text_col, shingle, least_jaccard is not None), "fingerprints")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+    edges = materialise(links(nodes, max_distance), "near")
+    if least_jaccard is not None:
+        more = similar_links(docs, fps, edges, text_col, shingle, least_jaccard)
+        near, edges = edges, materialise(edges.union(more), "near")
+        release(near, more)
+    joined = materialise(components(edges).withColumnRenamed("node", "fp").join(nodes, "fp"), "roots")
+    least = joined.groupBy("root").agg(F.min("first").alias("cid"))
+    named = nodes.join(joined.join(least, "root").select("fp", "root", "cid"), "fp", "left")
+    named = materialise(named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("cid", "first").alias("component_id")), "named")
+    release(nodes, edges, joined)
+    return fps.join(named, "fp", "left").select("id", "key", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, least_jaccard: float | None = None) -> DataFrame:
-    """(id, fingerprint, component_id) of every row of docs, by words of whole texts.
+    """(id, fingerprint, component_id) of every row of docs, by words of whole texts of any length.
 
     component_id is the smallest id that links of max_distance bits or fewer reach, and with
     least_jaccard also links of texts whose shingles have that Jaccard similarity or more. Null and empty
@@ -237,15 +271,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     returned; ids that are null are returned and never name a component unless all its ids are
     null. Further columns of docs are ignored. An empty table gives an empty result.
     """
-    fps = materialise(with_fingerprints(docs, id_col, text_col, shingle, least_jaccard is not None), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    edges = links(nodes, max_distance)
-    if least_jaccard is not None:
-        near = materialise(edges, "near")
-        edges = near.union(similar_links(docs, fps, near, text_col, shingle, least_jaccard))
-    roots = components(edges).withColumnRenamed("node", "fp")
-    joined = materialise(roots.join(nodes, "fp"), "roots")
-    least = joined.groupBy("root").agg(F.min("first").alias("cid"))
-    linked = joined.join(least, "root").select("fp", "cid")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("cid", "first").alias("component_id"))
-    return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = grouped(docs, id_col, text_col, shingle, max_distance, least_jaccard)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

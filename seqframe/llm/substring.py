@@ -5,19 +5,20 @@ earlier start) cover words to remove. Equal windows hold the same minimiser: the
 GRAM consecutive words. So only windows whose minimiser occurs more than once in the corpus can
 repeat, and such places, the anchors, are about a seventh of all words, few of them repeated.
 
-1. Anchors of all texts are counted; a repeated one belongs to the document of its earliest place.
-   Counts and places are salted, so that a very frequent anchor is spread over many tasks.
-2. That document's passages around its anchors are a reference shard. Every document's passages go
-   to the shards of their anchors; neighbouring anchors of one shard share a passage. If a shard
-   is asked for by very many passages, they are dealt to several tasks and the shard's passages go
-   to each of these (a broadcast of a bounded shard, of one document's passages at most).
+1. Anchors of all texts are counted; a repeated one belongs to its earliest place. Counts and places
+   are salted, so that a very frequent anchor is spread over many tasks.
+2. A stretch of SEGMENT words of a document, around the anchors that belong to places in it, is a
+   reference shard. Every document's passages go to the shards of their anchors; neighbouring anchors
+   of one shard share a passage. If a shard is asked for by very many passages, they are dealt to
+   several tasks and the shard goes to each of these (a stretch of bounded size, whatever the texts).
 3. A task builds the shard's suffix automaton and streams the passages through it in order. At each
    word the matching statistic, cut to a window, leads to the state whose earliest end decides. In a
    shard of one task, passages with windows not seen before join the automaton. In a dealt shard
-   they are sent on under a digest of the window, and the earliest place of each is found by
-   an aggregation, so that nothing is lost between the tasks.
+   such windows can repeat between its tasks, so their words are sent on, and an aggregation by these
+   words finds the earliest place of each.
 
-Texts are shuffled once, those with repeated anchors twice; words are compared, not hashes of them.
+Texts are shuffled once, those with repeated anchors twice. What is removed is decided by words, here
+and there; hashes only bring together what may be equal.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ from seqframe.llm.util import map_batches, materialise, release, utf8
 WINDOW, GRAM = 20, 8
 #: Passages, and bytes of passages, of a shard for one task; a shard with more is dealt to several.
 DEAL, DEAL_BYTES = 256, 1 << 19
-#: Parts into which the rows of one gram, shard or digest are dealt for joins; 64 at most, bits of a long.
+#: Words of a document's stretch that makes one shard.
+SEGMENT = 4096
+#: Parts into which the rows of one gram, shard or window are dealt for joins; 64 at most, bits of a long.
 SALTS = 64
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -132,14 +135,14 @@ def _walk(automaton: SuffixAutomaton, words: list[bytes], place: tuple[int, int]
 
 
 def _stream(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, deal, deals, reference, d, t, start, passage) in order of shard, deal, reference first, place."""
+    """Rows (d, t and stretch of the shard, deal, deals, reference, d, t, start, passage) in order of shard, deal, reference first, place."""
     shard = automaton = None
     for b in batches:
         out: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            s_d, s_t, deal, deals, reference, d, t, start, passage = row
-            if (s_d, s_t, deal) != shard:
-                shard, automaton, seen = (s_d, s_t, deal), SuffixAutomaton(), {}
+            *at, deals, reference, d, t, start, passage = row
+            if at != shard:
+                shard, automaton, seen = at, SuffixAutomaton(), {}
             words = passage.split(b" ")
             if reference:
                 automaton.add(words, [(d, t, start + i + 1) for i in range(len(words))])
@@ -154,10 +157,10 @@ def _stream(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                     covered, _ = _walk(automaton, words, (d, t), start, window)
                 seen.setdefault(passage, (d, t, start))
             else:
-                out.extend((d, t, start + a, start + a + window, hashlib.blake2b(b" ".join(words[a : a + window]), digest_size=16).digest()) for a in fresh)
+                out.extend((d, t, start + a, start + a + window, b" ".join(words[a : a + window])) for a in fresh)
             out.extend((d, t, start + a, start + z, None) for a, z in covered)
         columns = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["d", "t", "first", "end", "digest"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["d", "t", "first", "end", "words"])
 
 
 def _with_totals(rows: DataFrame, keys: list[str], spread: list[str], total: Column, where: str = "true") -> tuple[DataFrame, DataFrame]:
@@ -173,16 +176,18 @@ def _with_totals(rows: DataFrame, keys: list[str], spread: list[str], total: Col
     return rows.join(whole, [*keys, "salt"]).drop("salt"), whole
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """id, n_words, n_removed, kept_sha256 (and kept, the words left joined by a space) of every row of docs.
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_row: bool = False) -> DataFrame:
+    """id, n_words, n_removed, kept_sha256 of every row of docs; with_row: row (all its columns), n_removed, and kept, the words left
+    joined by a space, which is null where none was removed.
 
-    Null and empty texts have no words. Rows of the same identifier and text are one document, and
-    get the same result; rows of one identifier and different texts are ordered by a hash of the
-    text. A null identifier counts as smaller than any other. Texts shorter than a window lose
-    nothing. Further columns are ignored.
+    Null and empty texts have no words, texts of any length are taken whole. Rows of the same
+    identifier and text are one document, and get the same result; rows of one identifier and
+    different texts are ordered by a hash of the text. A null identifier counts as smaller than any
+    other. Texts shorter than a window lose nothing. An empty table gives an empty result; further
+    columns have no influence, whatever their names.
     """
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keyed = keyed.select("id", F.coalesce("id", F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("t"), "text")
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if with_row else []))
+    keyed = keyed.select("id", F.coalesce("id", F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("t"), "text", *(["row"] if with_row else []))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,8 +203,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = map_batches(keyed.select("d", "t", "text"), find, "g long, d long, t long, word int")
     counts, repeated = _with_totals(found, ["g"], ["d", "word"], F.count(F.lit(1)).alias("n"), "n > 1")
     again = materialise(counts.drop("n"), "anchors")
-    owned, owners = _with_totals(again, ["g"], ["d", "word"], F.min(F.struct("d", "t")).alias("o"))
-    places = owned.groupBy("d", "t").agg(F.collect_list(F.struct(F.col("o.d").alias("s_d"), F.col("o.t").alias("s_t"), "word")).alias("places"))
+    owned, owners = _with_totals(again, ["g"], ["d", "word"], F.min(F.struct("d", "t", "word")).alias("o"))
+    stretch = F.floor(F.col("o.word") / SEGMENT).cast("int")
+    places = owned.groupBy("d", "t").agg(F.collect_set(F.struct(F.col("o.d").alias("s_d"), F.col("o.t").alias("s_t"), stretch.alias("s_w"), "word")).alias("places"))
     # documents with repeated anchors, their texts and places
     touched = materialise(keyed.select("d", "t", "text").dropDuplicates(["d", "t"]).join(places, ["d", "t"]), "touched")
     release(repeated, again, owners)
@@ -209,31 +215,32 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out = []
             for d, t, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), b.column(3), strict=True):
                 words = text.split()
-                s_d, s_t, word = (x.to_numpy(zero_copy_only=False) for x in at.values.flatten())
-                _, once = np.unique(word, return_index=True)  # rows that repeat a document repeat its places
-                s_d, s_t, word = s_d[once], s_t[once], word[once]
-                order = np.lexsort((word, s_t, s_d))
-                s_d, s_t, word = s_d[order], s_t[order], word[order]
-                edge = np.flatnonzero((s_d[1:] != s_d[:-1]) | (s_t[1:] != s_t[:-1])) + 1
+                s_d, s_t, s_w, word = (x.to_numpy(zero_copy_only=False) for x in at.values.flatten())
+                order = np.lexsort((word, s_w, s_t, s_d))
+                s_d, s_t, s_w, word = s_d[order], s_t[order], s_w[order], word[order]
+                edge = np.flatnonzero((s_d[1:] != s_d[:-1]) | (s_t[1:] != s_t[:-1]) | (s_w[1:] != s_w[:-1])) + 1
                 for lo, hi in zip(np.r_[0, edge].tolist(), np.r_[edge, len(word)].tolist(), strict=True):
-                    out += [(int(s_d[lo]), int(s_t[lo]), d, t, a, b" ".join(words[a:z])) for a, z in _merged(word[lo:hi], window, gram, len(words))]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["s_d", "s_t", "d", "t", "start", "passage"])
+                    out += [(int(s_d[lo]), int(s_t[lo]), int(s_w[lo]), d, t, a, b" ".join(words[a:z])) for a, z in _merged(word[lo:hi], window, gram, len(words))]
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["s_d", "s_t", "s_w", "d", "t", "start", "passage"])
 
-    passages = materialise(map_batches(touched, cut, "s_d long, s_t long, d long, t long, start int, passage binary"), "passages")
+    passages = materialise(map_batches(touched, cut, "s_d long, s_t long, s_w int, d long, t long, start int, passage binary"), "passages")
     share = F.greatest(F.count(F.lit(1)) / DEAL, F.sum(F.length("passage")) / DEAL_BYTES)
-    asked, _ = _with_totals(passages, ["s_d", "s_t"], ["d", "t", "start"], F.ceil(share).cast("int").alias("deals"))
+    shard = ["s_d", "s_t", "s_w"]
+    asked, sizes = _with_totals(passages, shard, ["d", "t", "start"], F.ceil(share).cast("int").alias("deals"))
     streamed = asked.withColumn("deal", F.pmod(F.xxhash64("d", "t", "start"), F.col("deals")).cast("int")).withColumn("reference", F.lit(False))
-    shards = asked.where("deals > 1 AND s_d = d AND s_t = t").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).withColumn("reference", F.lit(True))
-    columns = ["s_d", "s_t", "deal", "deals", "reference", "d", "t", "start", "passage"]
-    rows = streamed.select(columns).union(shards.select(columns)).repartition("s_d", "s_t", "deal")
-    rows = rows.sortWithinPartitions("s_d", "s_t", "deal", F.col("reference").desc(), "d", "t", "start")
-    spans = materialise(map_batches(rows, lambda batches: _stream(batches, window), "d long, t long, first long, end long, digest binary", 2048), "spans")
-    pending = spans.where("digest IS NOT NULL")
-    timed, _ = _with_totals(pending, ["digest"], ["d", "first"], F.min(F.struct("d", "t", "first")).alias("at"))
+    within = F.col("start").between(F.col("s_w") * SEGMENT - window, (F.col("s_w") + 1) * SEGMENT)
+    shards = asked.where((F.col("deals") > 1) & (F.col("s_d") == F.col("d")) & (F.col("s_t") == F.col("t")) & within)
+    shards = shards.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).withColumn("reference", F.lit(True))
+    columns = [*shard, "deal", "deals", "reference", "d", "t", "start", "passage"]
+    rows = streamed.select(columns).union(shards.select(columns)).repartition(*shard, "deal")
+    rows = rows.sortWithinPartitions(*shard, "deal", F.col("reference").desc(), "d", "t", "start")
+    spans = materialise(map_batches(rows, lambda batches: _stream(batches, window), "d long, t long, first long, end long, words binary"), "spans")
+    release(passages, sizes)
+    timed, _ = _with_totals(spans.where("words IS NOT NULL"), ["words"], ["d", "first"], F.min(F.struct("d", "t", "first")).alias("at"))
     later = timed.where(F.struct("d", "t", "first") > F.col("at")).select("d", "t", "first", "end")
-    removed = spans.where("digest IS NULL").select("d", "t", "first", "end").union(later).groupBy("d", "t").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    removed = spans.where("words IS NULL").select("d", "t", "first", "end").union(later).groupBy("d", "t").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,17 +253,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 np.add.at(gone, end, -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 left = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
-                rows.append((d, t, int(gone.sum()), _summary(left), b" ".join(left) if with_text else None))
+                rows.append((d, t, int(gone.sum()), _summary(left), b" ".join(left) if with_row else None))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "t", "n_removed", "left_sha", "kept"])
 
     changed = map_batches(touched.select("d", "t", "text").join(removed, ["d", "t"]), keep, "d long, t long, n_removed long, left_sha string, kept binary")
-    if with_text:
-        out = keyed.join(changed, ["d", "t"], "left")
-        untouched = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\n\x0b\f\r]+"), lambda w: w != ""), " ")
-        return out.select(F.col("id").alias(id_col), "text", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.col("kept").cast("string"), untouched).alias("kept"))
+    gone = F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed")
+    if with_row:
+        return keyed.select("d", "t", "row").join(changed, ["d", "t"], "left").select("row", gone, F.col("kept").cast("string").alias("kept"))
     every = map_batches(keyed, summarise, "id long, d long, t long, n_words long, sha string")
-    return every.join(changed.drop("kept"), ["d", "t"], "left").select(
-        F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("left_sha", "sha").alias("kept_sha256")
-    )
+    return every.join(changed.drop("kept"), ["d", "t"], "left").select(F.col("id").alias(id_col), "n_words", gone, F.coalesce("left_sha", "sha").alias("kept_sha256"))

@@ -58,7 +58,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables made by materialise() that no later plan reads."""
+    """Delete the tables made by materialise() that these read and no later plan does."""
     for table in tables:
         context = table.sparkSession.sparkContext
         for parent in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
@@ -175,20 +175,22 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p"))
-        up = materialise(up, "parents")
+        first = up = materialise(up, "parents")
         for _ in range(2):
             over = up.select(F.col("node").alias("p"), F.col("p").alias("q"))
             up = up.join(over, "p").select("node", F.col("q").alias("p"))
         up = materialise(up, "parents")
         at = lambda end: up.select(F.col("node").alias(end), F.col("p").alias(f"p{end}"))
-        edges = materialise(
+        before, edges = edges, materialise(
             edges.join(at("a"), "a").join(at("b"), "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges"
         )
+        release(before, first)
         if labels is None:
             labels = up.select("node", F.col("p").alias("root"))
         else:
             over = up.select(F.col("node").alias("root"), F.col("p").alias("q"))
             labels = labels.join(over, "root", "left").select("node", F.coalesce("q", "root").alias("root"))
+    release(edges)
     if labels is None:
         return spark.createDataFrame([], "node long, root long")
     return labels

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -60,12 +61,16 @@ def test_simhash_cells():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**64, 40, dtype=np.uint64)
     x = np.unique(np.concatenate([x, x ^ np.uint64(1 << 5), x ^ np.uint64(0b1111 << 30), x ^ np.uint64(1 | 1 << 21 | 1 << 43 | 1 << 63)]))
-    cell, index, own = simhash.cells(x, 3)
-    found = set()
-    for c in np.unique(cell):
-        at = cell == c
-        for a, b in simhash.forest(x[index[at]], own[at], 4):
-            found |= set(zip(a.tolist(), b.tolist(), strict=True))
+    for z in (1, 2, 3):
+        found = set()
+        for cell in simhash.cells(x, 4, z):
+            for c in np.unique(cell):
+                for a, b in simhash.forest(x[cell == c], 4):
+                    found |= set(zip(a.tolist(), b.tolist(), strict=True))
+        check_links(x, found)
+
+
+def check_links(x, found):
     parent = {int(v): int(v) for v in x}
 
     def root(v, p=parent):
@@ -82,6 +87,15 @@ def test_simhash_cells():
                 assert root(a) == root(b)
 
 
+def test_simhash_split_cells(spark):
+    """Cells of many more members than a block gives the same links."""
+    rng = np.random.default_rng(2)
+    x = np.unique(np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)))
+    table = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    for limit in (5, 1000):
+        check_links(x, {(r.a % 2**64, r.b % 2**64) for r in simhash.links(table, 4, limit).collect()})
+
+
 def test_pieces(docs, empty):
     path = P.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -93,8 +107,27 @@ def test_pieces(docs, empty):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
     assert pieces.encoding_digests(empty, path).count() == 0
     codec = pieces.PieceCodec(path)
-    odd = ["aaaa" * 500, "▁▁a  b", "\x00é", " " * 40, "the" * 300, "中文😀" * 50]
+    rng = np.random.default_rng(3)
+    odd = ["aaaa" * 500, "▁▁a  b", "\x00é", " " * 40, "the" * 300, "中文😀" * 50, "", "\n\n", " a", "a "]
+    odd += ["".join(rng.choice(list("acgt"), 10_000)), "".join(rng.choice(list("abcdefghij"), 10_000)), "ab" * 5000]
+    name = {i: s for s, i in codec.ids.items()}
+    early = [name[int(m)].strip("▁") for k, r, m in zip(codec.keys, codec.ranks, codec.merged, strict=True) if k >= 0 and not codec.all_at_once[r]]
+    odd += [x * 400 for x in early[::200] if x] + ["".join(rng.choice(early, 300)) for _ in range(5)]
     assert [x.tolist() for x in codec.encode(odd)] == lib.encode(odd)
+    assert [codec.decode(x) for x in codec.encode(odd)] == [lib.decode(x) for x in lib.encode(odd)]
+
+
+def test_pieces_other_models(tmp_path):
+    """Models whose pieces cross the bounds of words are refused."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    for piece, kind in (("a▁b", 1), ("a\n", 1), ("<user>", 4)):
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(open(P.path("piece_bpe_32k.model"), "rb").read())
+        proto.pieces.add(piece=piece, type=kind, score=-1e6)
+        (tmp_path / "m").write_bytes(proto.SerializeToString())
+        with pytest.raises(ValueError, match="not supported"):
+            pieces.PieceCodec(str(tmp_path / "m"))
 
 
 def test_sstable(spark, docs, empty, tmp_path):
@@ -111,6 +144,26 @@ def test_sstable(spark, docs, empty, tmp_path):
     assert sstable.token_shards(docs, path).count() == len(TEXTS) + 2
 
 
+def test_sstable_small_shards(spark, tmp_path):
+    """Shards cut by parts and by bytes; more rows of one identifier, and of none, than a range has."""
+    path = P.path("byte_bpe_50k.json")
+    rng = np.random.default_rng(1)
+    rows = [(None if i < 200 else 7 if i < 400 else i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 4000))) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    lib = Tokenizer.from_file(path)
+    size = [len(x.ids) + 1 for x in lib.encode_batch([t for _, t in rows], add_special_tokens=False)]
+    for n, (parts, most) in enumerate(((6, 1 << 30), (1024, 40_000))):
+        out = f"file://{tmp_path}/s{n}"
+        sstable.write_shards(d, path, out, shard_parts=parts, shard_bytes=most)
+        files = sstable.shard_files(spark, out).collect()
+        assert len(files) > 20 and max(len(r.content) for r in files) < 1_000_000
+        assert sum(sstable.Shard(bytes(r.content)).tokens for r in files) == sum(size)
+        got = sorted(((*sstable._place(r.shard), r.local_start, r) for r in sstable.read_shards(spark, out).collect()), key=lambda x: x[:3])
+        ids = [x[3].doc_id for x in got]
+        assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and sorted(x[3].n_tokens for x in got) == sorted(size)
+        assert {r.doc_id for r in sstable.lookup(spark, out, [7, 450, 5000]).collect()} == {7, 450}
+
+
 def test_quality_and_mixing(spark, docs, empty):
     rows = [(i, ("good word here now " if i % 2 else "bad!! junk!! ###") * (3 + i % 5), None, "s", 1, 1, 1, "x") for i in range(300)]
     d = spark.createDataFrame(rows, SCHEMA)
@@ -126,6 +179,57 @@ def test_quality_and_mixing(spark, docs, empty):
     assert {r.rate for r in mixing.mix(docs, none)[0].collect()} == {1.0}
 
 
+def test_quality_forward_and_held_out(spark, docs):
+    """Scores against a plain forward pass, and accuracy on rows that were not learnt."""
+    from seqframe.llm import subword
+
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.score_quality(table, labels).collect()}
+    truth = {r.doc_id: r.quality for r in labels.where("quality IS NOT NULL").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    right = sum(got[i].predicted == q for i, q in truth.items() if i in got) / len(truth)
+    most = max(sum(truth.values()), len(truth) - sum(truth.values())) / len(truth)
+    assert len(truth) > 300 and right > 0.93 > most, (right, most)
+    usable = labels.where("quality IN (0, 1)").where(~quality.held_out(5, 0)).selectExpr("doc_id", "CAST(quality AS STRING) AS label")
+    model = subword.fit(table, usable)
+    plain = lambda w: [zlib.crc32(w, 7) % len(model.effect), *subword.gram_buckets([w.decode()], (3, 4), len(model.effect))[0]]
+    for r in table.limit(40).collect():
+        rows = [b for w in (r.text or "").encode().split() for b in plain(w)]
+        z = model.bias + (np.mean(model.effect[rows].astype(float), axis=0) if rows else 0)
+        assert got[r.doc_id].score == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), rel=1e-6)
+    odd = {r.doc_id: r.score for r in quality.score_quality(table.select("doc_id", "text").union(docs.select(-F.col("doc_id"), "text")), labels).collect()}
+    assert odd[-4] == odd[-5] == odd[-6] and 0 <= odd[-4] <= 1  # null, empty and white space: the bias
+
+
+def test_language_held_out(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(table.where(~quality.held_out(4, 2)))
+    rows = language.identify(table.where(quality.held_out(4, 2)), model, keep=("doc_id", "lang")).where("lang IS NOT NULL").collect()
+    assert len(rows) > 2000 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.995
+
+
+def test_mixing_against_dense_solver(spark):
+    """Rates against accelerated projected gradient steps on all documents at once, with and without a floor."""
+    rng = np.random.default_rng(8)
+    n = rng.integers(1, 50, 400).astype(float)
+    p = rng.dirichlet([0.4, 0.6, 0.8], 400)
+    table = spark.createDataFrame([(x.tolist(), int(k)) for x, k in zip(p, n, strict=True)], "p array<double>, n_words long").repartition(3)
+    natural = n @ p
+    target = np.array([0.2, 0.3, 0.5]) * natural.sum()
+    for kept, least in ((-1, 0.0), (0, 0.6)):
+        floor = mixing._floor(p, kept, least)
+        dual, expected = mixing._solve(table, natural, target, kept, least, 100, 1e-9)
+        assert expected == pytest.approx(target, rel=1e-6)
+        rates = mixing._rates(p, dual, floor)
+        size, x = n.sum(), np.zeros(3)
+        y, t = x, 1.0
+        for _ in range(20_000):  # the dual of least n (r - 1)^2 under the targets
+            r = np.maximum(floor, 1 + p @ y)
+            new = y - ((n * r) @ p - target) / size
+            t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+            y, x = new + (old - 1) / t * (new - x), new
+        assert rates == pytest.approx(np.maximum(floor, 1 + p @ x), abs=1e-4)
+
+
 def test_mixing_meets_every_target(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     mixed, report = mixing.mix(docs, labels, keep="q1t0")
@@ -154,6 +258,46 @@ def test_licences(docs, empty):
     assert [(t, s) for t, s, _, c in spans if t == "mit" and c > 0.9] == [("mit", 60)]
 
 
+def test_licence_chains():
+    """The chain of each match is the best of all chains, by brute force; many licences in one text."""
+    scanner = licenses.LicenceScanner()
+    words = {k: v.split() for k, v in licenses.TEMPLATES.items()}
+    rng = np.random.default_rng(6)
+
+    def brute(matches):
+        items = sorted((t, s, e, end - (e - s), end) for s, e, state in matches for t, end in scanner.ends.get(state, ()))
+        best = {}
+        for t, s, e, u, v in items:
+            top = (e - s, s)
+            for (t2, s2, e2, u2, v2), (c, start) in best.items():
+                over = max(0, e2 - s, v2 - u)
+                if t2 == t and s2 < s and u2 < u and abs(s - e2) <= scanner.gap and u - v2 <= scanner.gap and over < e - s:
+                    top = max(top, (c + e - s - over, start))
+            best[t, s, e, u, v] = top
+        return max(((min(1.0, c / scanner.sizes[t]), scanner.names[t]) for (t, *_), (c, _) in best.items()), default=(0, ""))
+
+    for _ in range(60):
+        text = []
+        for name in rng.choice(sorted(words), 3):
+            w = list(words[name])
+            for _ in range(rng.integers(0, 30)):
+                at = int(rng.integers(0, len(w)))
+                w[at : at + 1] = [["odd"], [], [w[at], w[at]], w[: int(rng.integers(0, 9))]][int(rng.integers(0, 4))]
+                w = w or ["odd"]
+            text += w
+        seen = []
+        chain = scanner.chain
+        scanner.chain = lambda m, seen=seen, chain=chain: seen.append(m) or chain(m)
+        _, _, spans = scanner.scan(" ".join(text).encode())
+        scanner.chain = chain
+        share, _ = brute(seen[0]) if seen else (0, "")
+        assert max((c for *_, c in spans), default=0) == pytest.approx(share if share >= scanner.coverage else 0)
+    gpl = " ".join([w for x in (words["gpl"],) for w in x] * 200)
+    assert len([s for s in scanner.scan(gpl.encode())[2] if s[0] == "gpl"]) == 200
+    halved = " ".join(x for _ in range(200) for x in [*words["gpl"][:30], "odd", *words["gpl"][31:]])
+    assert len([s for s in scanner.scan(halved.encode())[2] if s[0] == "gpl" and s[3] > 0.9]) == 200
+
+
 def test_language(spark, docs, empty):
     en, fr = "the cat and the dog with this ", "le chat et les chiens avec cette "
     rows = [(i, (en if i % 2 else fr) * 5, "en" if i % 2 else "fr", "s", 1, 1, 1, "x") for i in range(60)]
@@ -189,6 +333,50 @@ def test_substring(docs, empty, monkeypatch, deal):
     assert substring.dedup_substrings(empty).count() == 0
 
 
+def test_substring_many_passages(spark, monkeypatch):
+    """A shard asked for by very many passages, copies of one row, and stretches of a long document."""
+    monkeypatch.setattr(substring, "DEAL", 16)
+    monkeypatch.setattr(substring, "SEGMENT", 64)
+    rng = np.random.default_rng(7)
+    line = " ".join(f"c{i}" for i in range(9))
+    other = [" ".join(f"x{j}" for j in rng.integers(0, 40, 15)) for _ in range(12)]
+    rows = [(i, f"{other[rng.integers(0, 12)]} {line} {other[rng.integers(0, 12)]}") for i in range(300)]
+    rows += [(1000, " ".join(f"{line} {o}" for o in other * 3)), (2000, rows[0][1])]
+    d = spark.createDataFrame([*rows, *[(None, rows[5][1])] * 400], "doc_id long, text string").repartition(5)
+    got: dict = {}
+    for r in substring.dedup_substrings(d).collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed, r.kept_sha256))
+    seen: set = set()
+    for k, t in [(None, rows[5][1]), *rows]:
+        w = t.split()
+        gone = [False] * len(w)
+        for i in range(len(w) - 19):
+            key = tuple(w[i : i + 20])
+            if key in seen:
+                gone[i : i + 20] = [True] * 20
+            seen.add(key)
+        left = " ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()
+        assert set(got[k]) == {(len(w), sum(gone), hashlib.sha256(left).hexdigest())}, k
+    assert len(got[None]) == 400
+
+
+def test_blocks(spark):
+    """The size of blocks holds whatever else is built, and leaves the session alone."""
+    from seqframe.llm.util import map_batches
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    small = map_batches(spark.range(5000), run, "n long", 100)
+    map_batches(spark.range(10), run, "n long", 4000)
+    assert max(r.n for r in small.collect()) == 100 and sum(r.n for r in small.collect()) == 5000
+    wide = map_batches(spark.range(200).select(F.repeat(F.lit("x"), 10_000).alias("t")).coalesce(1), run, "n long", size=100_000)
+    assert max(r.n for r in wide.collect()) <= 12
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_totals_of_frequent_keys(spark):
     rows = spark.range(5000).selectExpr("IF(id % 3 = 0, 0, id % 700) AS k", "id")
     got, _ = substring._with_totals(rows, ["k"], ["id"], F.count(F.lit(1)).alias("n"), "n > 7")

@@ -5,7 +5,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from seqframe.llm import simhash
+from seqframe.llm import simhash, stages
 from seqframe.llm.util import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +80,68 @@ def test_near_dedup(spark):
             stack += new
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == kept
     assert len(kept) < corpus_pipeline.simhash_dedup(spark, docs, SF).count()
+
+
+def test_stages_lose_nothing(spark):
+    """Null and repeated identifiers, repeated rows, null and empty texts, and columns of clashing names, through every stage."""
+    filler = [" ".join(f"{c}word{i}" for i in range(30)) for c in "abcdefgh"]
+    rows = [(1, filler[0]), (1, filler[1]), (None, filler[2]), (None, filler[3]), (2, filler[4]), (2, filler[4]), (3, None), (4, ""), (5, filler[5] + " " + filler[0]), (6, filler[6])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, often int, kept string, row int, key int, id int, d int, t int, p int"
+    more = (1, "x", 1, 1, 1, 1, 1, 1)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *more) for i, t in rows], schema).repartition(3)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    lang = corpus_pipeline.language_id(spark, docs, SF)
+    assert lang.columns == columns and pairs(lang) == sorted([r for r in rows if r[1]], key=str)
+    near = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert near.columns == columns and pairs(near) == sorted({r for r in rows if r != (4, "")}, key=str)
+    less = corpus_pipeline.substring_dedup(spark, docs, SF)
+    assert less.columns == columns and pairs(less) == sorted([(i, filler[5] if i == 5 else t) for i, t in rows], key=str)
+    even = spark.createDataFrame([(6, 1, 0)], "doc_id long, quality int, toxic int")
+    assert pairs(stages.mixed(docs, even)) == sorted(rows, key=str)  # one domain: all rates are 1
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), SF)
+        assert out.count() == 0
+
+
+def test_run(spark, tmp_path):
+    """run() as a whole: the stages' rules one after the other, by brute force but for the models' own decisions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = corpus_pipeline.run(spark, SF).collect()
+    lang = {r.doc_id: r for r in stages.keep_language(docs).collect()}
+    text = {i: r.text for i, r in lang.items()}
+    sets = {i: set(simhash.shingles(t.encode(), 5)) for i, t in text.items()}
+    fp = {i: simhash.fingerprint(t.encode(), 5) for i, t in text.items()}
+    like = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    seen, kept = set(), []
+    for i in sorted(text):
+        if i in seen:
+            continue
+        kept.append(i)
+        stack = [i]
+        seen.add(i)
+        while stack:
+            j = stack.pop()
+            new = [k for k in text if k not in seen and like(j, k)]
+            seen |= set(new)
+            stack += new
+    windows, less = set(), []
+    for i in kept:
+        w = text[i].encode().split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            if key in windows:
+                gone[k : k + 20] = [True] * 20
+            windows.add(key)
+        left = b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode() if any(gone) else text[i]
+        if left:
+            less.append((i, left, lang[i].lang, lang[i].source, len(left)))
+    mixture = stages.mixed(spark.createDataFrame(less, docs.schema), labels).collect()
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = []
+    for r in mixture:
+        ids = lib.encode(r.text)
+        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest()))
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 50
