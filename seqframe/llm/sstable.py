@@ -42,7 +42,7 @@ BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
 #: Words encoded as one text.
 UNITS = 512
 #: Words kept with their ids; beyond that the store is emptied before a block.
-STORE = 500_000
+STORE = 250_000
 #: Parts of a full shard, and the bytes at which a shard ends.
 SHARD_PARTS, SHARD_BYTES = 1024, 64 << 20
 
@@ -356,7 +356,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
     rows = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    map_batches(rows, run, "part binary", size=16 << 20).select(F.col("part").cast("string").alias("value")).write.option("maxRecordsPerFile", shard_parts).text(path)
+    map_batches(rows, run, "part binary", size=6 << 20).select(F.col("part").cast("string").alias("value")).write.option("maxRecordsPerFile", shard_parts).text(path)
 
 
 def shard_files(spark: SparkSession, path: str) -> DataFrame:

@@ -401,10 +401,51 @@ def test_iblt(spark, docs, empty):
     assert iblt.fingerprints(docs.where("doc_id = 12")).first().near_next == 1.0
     # a part with far too many digests for the first table
     wide = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.xxhash64(i)).alias("a"))
-    small, large = (F.array_size(iblt.peel(iblt.subtract(iblt.table(F.col("a"), m), iblt.table(F.array().cast("array<long>"), m)), m)) for m in (48, 768))
+    small, large = (F.array_size(iblt.peel(iblt.subtract(iblt.table(F.col("a"), m), iblt.table(F.array().cast("array<long>"), m)), m)) for m in (F.lit(16), F.lit(256)))
     assert tuple(wide.select(small, large).first()) == (None, 200)
 
 
+def test_iblt_by_fingerprints_alone(spark):
+    """Texts of 1 to 500 lines: likenesses from the two columns alone, digests from one, folding, order of lines."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "\n".join(f"line {x}" for x in rng.integers(0, 3 * n, n))) for i, n in enumerate([*range(1, 60), 99, 100, 130, 200, 201, 350, 500])]
+    rows += [(100, "a\nb\nc"), (101, "c\nb\na"), (102, "a\nb\nc"), (103, "a\na\nb\nc")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = iblt.fingerprints(d)
+    both = got.select("doc_id", "near_edited", "near_next", "fingerprint", iblt.likeness(iblt.parse(F.col("fingerprint")), iblt.parse(F.col("edited_fingerprint"))).alias("again"))
+    lines = lambda t: {x for x in t.split("\n") if x}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    text, order = dict(rows), sorted(dict(rows), reverse=True)
+    fps = {}
+    for r in both.collect():
+        t, n = text[r.doc_id], text[order[(order.index(r.doc_id) + 1) % len(order)]]
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert r.again == r.near_edited == pytest.approx(like(lines(t), lines(e))) and r.near_next == pytest.approx(like(lines(t), lines(n)))
+        fps[r.doc_id] = r.fingerprint
+    assert fps[100] == fps[102] and len({fps[100], fps[101], fps[103]}) == 3
+    # every fingerprint gives its digests; some needed larger tables
+    sizes = set()
+    for cells in {int(f.split(":")[1]) for f in fps.values()}:
+        some = [(i, f) for i, f in fps.items() if int(f.split(":")[1]) == cells]
+        table = spark.createDataFrame(some, "doc_id long, f string").select("doc_id", iblt.decode(iblt.parse(F.col("f"))["parts"], F.lit(cells)).alias("found"))
+        want = {r.doc_id: set(r.p) for r in d.select("doc_id", iblt.paragraphs(F.col("text")).alias("p")).collect()}
+        assert all(set(r.found) == want[r.doc_id] for r in table.collect())
+        sizes.add(cells)
+    assert max(sizes) > iblt.CELLS
+
+
+def test_iblt_order(spark):
+    """Next rows in descending order, with many rows of one identifier and of none."""
+    rows = [(None if i < 60 else 5 if i < 140 else i, f"text {i}") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    h = {r.text: r.h for r in d.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]]))
+    want = {a[1]: b[1] for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    found = iblt.with_next(d)
+    assert {r.text: r.next_text for r in found.collect()} == want
+    assert found.select("range").distinct().count() > 8 and max(r["count"] for r in found.groupBy("range").count().collect()) < 50
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16))
