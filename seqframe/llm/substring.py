@@ -39,6 +39,8 @@ WINDOW, GRAM = 20, 8
 DEAL, DEAL_BYTES = 256, 1 << 19
 #: Words of a document's stretch that makes one shard.
 SEGMENT = 4096
+#: Spans that a task holds before it sends them on.
+SPANS = 16384
 #: Parts into which the rows of one gram, shard or window are dealt for joins; 64 at most, bits of a long.
 SALTS = 64
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -137,8 +139,14 @@ def _walk(automaton: SuffixAutomaton, words: list[bytes], place: tuple[int, int]
 def _stream(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows (d, t and stretch of the shard, deal, deals, reference, d, t, start, passage) in order of shard, deal, reference first, place."""
     shard = automaton = None
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        out.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["d", "t", "first", "end", "words"])
+
     for b in batches:
-        out: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             *at, deals, reference, d, t, start, passage = row
             if at != shard:
@@ -159,8 +167,9 @@ def _stream(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             else:
                 out.extend((d, t, start + a, start + a + window, b" ".join(words[a : a + window])) for a in fresh)
             out.extend((d, t, start + a, start + z, None) for a, z in covered)
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["d", "t", "first", "end", "words"])
+            if len(out) >= SPANS:
+                yield batch()
+        yield batch()
 
 
 def _with_totals(rows: DataFrame, keys: list[str], spread: list[str], total: Column, where: str = "true") -> tuple[DataFrame, DataFrame]:
