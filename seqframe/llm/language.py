@@ -201,16 +201,17 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, keep: tuple[st
     Rows are independent: repeated rows repeat, further columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # languages x buckets numbers
+    columns = list(dict.fromkeys((*keep, "text")))  # a text that is kept is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _loaded(shared.value)
         span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            rows = own.identify(b.column(len(keep)), penalty)
+            rows = own.identify(b.column(columns.index("text")), penalty)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[: len(keep)], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([[{"lang": x, "start": s, "end": e} for x, s, e in r[2]] for r in rows], span)],
                 [*keep, "lang_pred", "score", "spans"],
             )
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_batches(docs.select(*keep, "text"), run, f"{fields}lang_pred string, score double, spans array<struct<lang: string, start: long, end: long>>")
+    return map_batches(docs.select(*columns), run, f"{fields}lang_pred string, score double, spans array<struct<lang: string, start: long, end: long>>")

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm.util import distinct_words, map_batches, materialise, shared_dir, utf8
+from seqframe.llm.util import distinct_words, map_batches, materialise, own_actions, shared_dir, utf8
 
 MAGIC = b"SFSSTAB1"
 FOOTER = struct.Struct("<8Q8s8s")
@@ -356,7 +356,9 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
     rows = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    map_batches(rows, run, "part binary", size=6 << 20).select(F.col("part").cast("string").alias("value")).write.option("maxRecordsPerFile", shard_parts).text(path)
+    parts = map_batches(rows, run, "part binary", size=6 << 20).select(F.col("part").cast("string").alias("value"))
+    with own_actions(spark):
+        parts.write.option("maxRecordsPerFile", shard_parts).text(path)
 
 
 def shard_files(spark: SparkSession, path: str) -> DataFrame:

@@ -21,9 +21,8 @@ def keep_language(docs: DataFrame) -> DataFrame:
     stays empty.
     """
     model = language.fit(docs.where(~quality.held_out(4, 2)))
-    rows = docs.select(F.struct(*COLUMNS).alias("row"), "text")
-    found = language.identify(rows, model, keep=("row",))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.doc_id", "row.text", F.col("lang_pred").alias("lang"), "row.source", "row.n_chars")
+    found = language.identify(docs, model, keep=("doc_id", "text", "source", "n_chars"))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def one_of_each_group(docs: DataFrame, least_jaccard: float | None = None) -> DataFrame:

@@ -33,16 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def own_actions(spark: SparkSession) -> Iterator[None]:
+    """For actions that this library runs itself: batches to the workers of BLOCK_BYTES at most, and shuffle files that go
+    when the action ends. What is built here but run by the caller has Spark's own bounds."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BLOCK_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -52,7 +57,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    with own_actions(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
