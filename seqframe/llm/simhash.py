@@ -18,8 +18,8 @@ fingerprints are one node, so copies cost nothing.
 Texts of similarity 0.8 differ by 9 or 10 bits and more, where no grid of 64 bits is selective.
 Links by similarity come from MinHash instead: texts that agree in a band of minima are candidates,
 and sets of shingles, compared exactly, decide. A pair of Jaccard 0.8 misses all bands once in
-38,000 times. Each band's members meet its first one; after that only pairs of a band that no links
-connect yet are compared, so a group of near copies costs about its size.
+38,000 times. Each band's members meet its first one; after that the members of bands that no links
+connect yet are compared within a task, which sends on only links that connect something new.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqframe.llm.util import components, map_batches, materialise, release, utf8
@@ -44,6 +45,8 @@ LIMIT = 1 << 18
 ENTRY_COST = 20
 #: Bands of so many minima each.
 BANDS, MINIMA = 20, 4
+#: Members of a band in one task, or of two blocks of it at most twice as many.
+BLOCK = 4096
 _ODD = np.random.default_rng(SEED).integers(0, 2**63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -152,6 +155,30 @@ def forest(fp: np.ndarray, max_distance: int) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
+def _block_pairs(key: str) -> Column:
+    """Parts in which a member meets all others of a group of so many blocks (column blocks): its own block with each one."""
+    own = F.pmod(F.xxhash64(key), F.col("blocks"))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of one group of the first columns each; an empty slice follows the last of each group."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns[:keys]]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            group = tuple(c[lo] for c in columns)
+            if last is not None and group != last:
+                yield b.slice(0, 0)
+            last = group
+            yield b.slice(lo, hi - lo)
+    if last is not None:
+        yield b.slice(0, 0)
+
+
 def links(distinct: DataFrame, max_distance: int = 4, limit: int = LIMIT) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all links."""
     n = distinct.count()
@@ -192,10 +219,7 @@ def links(distinct: DataFrame, max_distance: int = 4, limit: int = LIMIT) -> Dat
     grid = map_batches(distinct.select("fp"), spread, "cell long, fp long", 4096).withColumn("part", F.lit(0).cast("long"))
     if n > limit:  # otherwise no cell can have as many members
         full = grid.groupBy("cell").count().where(F.col("count") > limit).select("cell", F.ceil(F.col("count") / limit).alias("blocks"))
-        split = grid.join(full, "cell", "left")
-        own, other = F.pmod(F.xxhash64("fp"), F.col("blocks")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-        parts = F.when(F.col("blocks").isNotNull(), F.transform(other, lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o)))
-        grid = split.withColumn("part", F.explode(F.coalesce(parts, F.array("part"))))
+        grid = grid.join(full, "cell", "left").withColumn("part", F.explode(F.when(F.col("blocks").isNotNull(), _block_pairs("fp")).otherwise(F.array("part"))))
     grid = grid.select("cell", "part", "fp").repartition("cell", "part").sortWithinPartitions("cell", "part")
     return map_batches(grid, search, "a long, b long", 1 << 16)
 
@@ -233,18 +257,74 @@ def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, text_col: st
     stars = entries.where("key <> hub").select(F.col("hub").alias("x"), F.col("key").alias("y")).distinct()
     edges = materialise(_similar(stars, texts, shingle, least), "similar")
     roots = materialise(components(near.union(edges)), "roots")
-    named = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("band", "key", "hub", F.coalesce("root", "fp").alias("root"))
+    named = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("band", "key", "fp", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "named")
-    open_ = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    named = named.join(open_, "band", "left_semi")
-    one, other = named.select("band", "hub", F.col("key").alias("x"), F.col("root").alias("p")), named.select("band", F.col("key").alias("y"), F.col("root").alias("q"))
-    apart = one.join(other, (one["band"] == other["band"]) & (F.col("p") < F.col("q")) & (F.col("x") != F.col("hub")) & (F.col("y") != F.col("hub")))
-    pairs = materialise(apart.select("x", "y").distinct(), "pairs")
-    found = materialise(edges.union(_similar(pairs, texts, shingle, least)), "similar")
-    release(entries, texts, edges, roots, named, pairs)
+    open_ = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("low < high")
+    named = materialise(named.join(open_.select("band", "blocks"), "band"), "open")
+    more = materialise(_unconnected(named, texts, shingle, least), "similar")
+    found = edges.union(more)
+    release(entries, texts, roots, named)
     return found
 
 
+def _unconnected(members: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(a, b): fingerprints of texts of that similarity that share a band (band, blocks, key, fp, root) but not yet a root.
+
+    A band's members come to one task with their sets of shingles, hashed; of more than BLOCK members
+    two blocks at a time. Those of one root are taken as connected, others are compared with members
+    reached so far, so only links that connect something new are sent on, never all pairs.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(_hashes(t, shingle)).view(np.int64) for t in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    def linked(fp: np.ndarray, root: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        words, flat = np.unique(flat, return_inverse=True)
+        ends = np.cumsum(sizes)
+        one, other = [], []
+        left = np.arange(len(fp))
+        own = np.zeros(len(words), bool)
+        while len(left):
+            reached = root[left] == root[left[0]]
+            front, left = left[reached].tolist(), left[~reached]
+            while front and len(left):
+                x = front.pop()
+                own[flat[ends[x] - sizes[x] : ends[x]]] = True
+                begin = np.cumsum(sizes[left]) - sizes[left]
+                of = flat[np.arange(sizes[left].sum()) + np.repeat(ends[left] - sizes[left] - begin, sizes[left])]
+                both = np.add.reduceat(own[of], begin, dtype=np.int64)
+                own[:] = False
+                near = both >= least * (sizes[x] + sizes[left] - both)
+                if near.any():
+                    one += [fp[x]] * int(near.sum())
+                    other += fp[left[near]].tolist()
+                    reached = np.isin(root[left], root[left[near]])
+                    front += left[reached].tolist()
+                    left = left[~reached]
+        return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in _groups(batches, 2):
+            held.append(b)
+            if b.num_rows:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()  # a group has ended
+            held = []
+            if t.num_rows > 1:
+                lists = t.column("shingles").combine_chunks()
+                lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+                yield linked(t.column("fp").to_numpy(), t.column("root").to_numpy(), lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64))
+
+    met = members.select("key").distinct()
+    sets = map_batches(texts.join(met, "key", "left_semi").select("key", "text"), hashed, "key long, shingles array<long>")
+    rows = members.join(sets, "key").withColumn("part", F.explode(_block_pairs("key")))
+    rows = rows.select("band", "part", "fp", "root", "shingles").repartition("band", "part").sortWithinPartitions("band", "part")
+    return map_batches(rows, search, "a long, b long")
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, least_jaccard: float | None = None) -> DataFrame:
     """(id, key, fp, component_id, root) of every row: key is a hash of the text, root the same for all rows of a group."""
     fps = materialise(with_fingerprints(docs, id_col, text_col, shingle, least_jaccard is not None), "fingerprints")

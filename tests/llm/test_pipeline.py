@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 
 import corpus_pipeline
@@ -50,8 +51,10 @@ def test_stages(spark):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(lib.encode(want[r.doc_id] or "")).encode()).hexdigest()
 
 
-def test_near_dedup(spark):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_near_dedup(spark, monkeypatch, block):
     """The pipeline's near-dedup against exact Jaccard similarity of all pairs and the links of 4 bits."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
     assert corpus_pipeline.near_dedup in [f for _, f in corpus_pipeline.STAGES]
     rng = np.random.default_rng(5)
     rows = []
@@ -63,6 +66,12 @@ def test_near_dedup(spark):
             for at in rng.choice(300, 4, replace=False):
                 v[at] = "other"
             rows.append(" ".join(v))
+    base = [f"v{x}" for x in range(120)]  # a cluster whose members mostly reach each other through others only
+    for _ in range(80):
+        v = list(base)
+        for at in rng.choice(120, rng.integers(1, 5), replace=False):
+            v[at] = f"z{rng.integers(0, 9)}"
+        rows.append(" ".join(v))
     rows += [rows[3], "few words", "few words", None, ""]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     sets = [set(simhash.shingles((t or "").encode(), 5)) for t in rows]
