@@ -91,11 +91,12 @@ def _amino(codon: Column) -> Column:
 
 
 def translate_single(seq: str | Column, frame: int = 0, reverse: bool = False) -> Column:
-    """One reading frame of a nucleotide sequence; letters short of a codon at the end are left out."""
+    """One reading frame of a nucleotide sequence; letters short of a codon at the end are left out.
+
+    The codons come from one pass of a pattern over the sequence, so the work grows with its length.
+    """
     s = F.reverse(complement(F.translate(F.upper(_c(seq)), "U", "T"))) if reverse else _c(seq)
-    n = F.floor((F.length(s) - frame) / 3).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(at, lambda i: _amino(F.substr(s, i * 3 + (frame + 1), F.lit(3)))), "")
+    return F.array_join(F.transform(F.regexp_extract_all(F.substr(s, F.lit(frame + 1)), F.lit("(?s)..."), F.lit(0)), _amino), "")
 
 
 def translate(seq: str | Column, frames: tuple[str, ...] = ("f0", "f1", "f2", "r0", "r1", "r2")) -> Column:

@@ -12,12 +12,8 @@ from seqframe.kernels import sequences as kernel
 
 def register(spark: SparkSession) -> None:
     """reverse_complement, kmer_hashes(seq, k), and minimiser_hashes(seq, k, window) for DNA; explode() makes rows of their arrays."""
-    dna = alphabet("dna4")
-    table = str.maketrans("ACGTN", "TGCAN")
-
-    @F.pandas_udf("string")
-    def reverse_complement(s: pd.Series) -> pd.Series:
-        return s.str.translate(table).str[::-1]
+    dna, wide = alphabet("dna4"), alphabet("dna15")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION reverse_complement(s STRING) RETURN reverse(translate(s, '{wide.letters}', '{wide.complement}'))")
 
     @F.pandas_udf("array<bigint>")
     def kmer_hashes(s: pd.Series, k: pd.Series) -> pd.Series:
@@ -27,5 +23,5 @@ def register(spark: SparkSession) -> None:
     def minimiser_hashes(s: pd.Series, k: pd.Series, w: pd.Series) -> pd.Series:
         return pd.Series([kernel.minimiser_hash(x, kernel.shape_of(int(n)), int(m)).view("int64") for x, n, m in zip(s, k, w, strict=True)])
 
-    for f in (reverse_complement, kmer_hashes, minimiser_hashes):
+    for f in (kmer_hashes, minimiser_hashes):
         spark.udf.register(f.__name__, f)

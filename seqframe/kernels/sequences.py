@@ -70,17 +70,17 @@ def minimiser(v: np.ndarray, w: int) -> np.ndarray:
     w = min(w, len(v))
     if not w:
         return v[:0]
-    values = v.tolist()
-    at = max(range(w), key=lambda i: (-values[i], i))
-    out = [values[at]]
-    for end in range(w, len(values)):
-        if at <= end - w:
-            at = max(range(end - w + 1, end + 1), key=lambda i: (-values[i], i))
-            out.append(values[at])
-        elif values[end] < values[at]:
-            at = end
-            out.append(values[at])
-    return np.array(out, v.dtype)
+    windows = np.lib.stride_tricks.sliding_window_view(v, w)
+    at = np.arange(len(windows)) + w - 1 - windows[:, ::-1].argmin(axis=1)  # the rightmost least value
+    least = v[at]
+    # a value counts until it leaves the window or a smaller one comes in; equal ones don't take over before
+    below = np.r_[least[1:] < least[:-1], True]  # the next window has a smaller least value
+    falls = np.flatnonzero(below)
+    out, i = [], 0
+    while i < len(windows):
+        out.append(int(at[i]))
+        i = min(out[-1], int(falls[np.searchsorted(falls, i)])) + 1
+    return v[out]
 
 
 def minimiser_hash(seq: str, shape: Shape, window: int, seed: int = MINIMISER_SEED, of: Alphabet | None = None) -> np.ndarray:

@@ -70,14 +70,14 @@ def align_pairwise(seq1: str | Column, seq2: str | Column, config: AlignConfig |
 
     @F.pandas_udf(RESULT)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        score, rows = cfg.score_of(), []
-        for x, y in zip(a, b, strict=True):
-            r = None
-            if x is not None and y is not None:
-                r = kernel.edit(x, y, cfg.free_ends[0]) if cfg.edit else kernel.affine(x, y, score, cfg.gap_open, cfg.gap_extend, cfg.free_ends, cfg.method == "local", cfg.band)
-                if r and cfg.min_score is not None and r.score < cfg.min_score:
-                    r = None
-            rows.append((None,) * 7 if r is None else (r.score, r.begin1, r.begin2, r.end1, r.end2, r.aligned1, r.aligned2))
+        a, b = a.tolist(), b.tolist()
+        whole = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None]
+        pairs = [(a[i], b[i]) for i in whole]
+        found = kernel.edit_all(pairs, cfg.free_ends[0]) if cfg.edit else kernel.affine_all(pairs, cfg.score_of(), cfg.gap_open, cfg.gap_extend, cfg.free_ends, cfg.method == "local", cfg.band)
+        rows = [(None,) * 7] * len(a)
+        for i, r in zip(whole, found, strict=True):
+            if r and (cfg.min_score is None or r.score >= cfg.min_score):
+                rows[i] = (r.score, r.begin1, r.begin2, r.end1, r.end2, r.aligned1, r.aligned2)
         return pd.DataFrame(rows, columns=["score", "begin1", "begin2", "end1", "end2", "aligned1", "aligned2"])
 
     return run(_c(seq1), _c(seq2))

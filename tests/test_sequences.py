@@ -77,6 +77,9 @@ def test_search_join(spark):
     refs = spark.createDataFrame([(0, "ACGTACGTACGT"), (1, None), (2, "")], "reference_id int, text string")
     queries = spark.createDataFrame([(0, "ACGT"), (1, "CCGT"), (2, None)], "query_id int, query string")
     found = {(r.query_id, r.reference_begin_position) for r in search(queries, refs, SearchConfig(total=1), k=2).collect()}
+    joined = {(r.query_id, r.reference_begin_position) for r in search(queries, refs, SearchConfig(total=1), k=2, broadcast=-1).collect()}
+    lower = search(queries.select("query_id", F.lower("query").alias("query")), refs, SearchConfig(total=1), k=2, alphabet="dna4")
+    assert joined == found == {(r.query_id, r.reference_begin_position) for r in lower.collect()}
     assert found == {(q, p) for q in (0, 1) for p in (0, 1, 4, 5, 8, 9)}
     best = {(r.query_id, r.reference_begin_position) for r in search(queries, refs, SearchConfig(total=1, hit="all_best"), k=2).where("query_id = 0").collect()}
     assert best == {(0, 0), (0, 4), (0, 8)}
