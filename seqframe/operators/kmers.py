@@ -57,7 +57,7 @@ def minimiser(values: str | Column, w: int) -> Column:
 
 def minimiser_of_two(a: str | Column, b: str | Column, w: int) -> Column:
     """Minimisers of the smaller element of two arrays of equal length."""
-    return minimiser(F.zip_with(_c(a), _c(b), F.least), w)
+    return minimiser(F.zip_with(_c(a), _c(b), lambda x, y: F.least(x, y)), w)
 
 
 def minimiser_hash(seq: str | Column, k: int | str, window: int, seed: int = kernel.MINIMISER_SEED) -> Column:

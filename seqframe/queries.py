@@ -40,7 +40,8 @@ def _seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _S = "S AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents WHERE length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) >= 8)"
 _RANK = "instr('ACGT', substr(s, CAST(i AS BIGINT), 1)) - 1"
-_K8 = f"K AS (SELECT doc_id, list_transform(range(1, length(s) - 6), lambda i: {' + '.join(f'(instr(chr(65) || chr(67) || chr(71) || chr(84), substr(s, i + {j}, 1)) - 1) * {4 ** (7 - j)}' for j in range(8))}) AS h FROM S)"
+_DIGIT = "(instr('ACGT', substr(s, i + {j}, 1)) - 1) * {weight}"
+_K8 = f"K AS (SELECT doc_id, list_transform(range(1, length(s) - 6), lambda i: {' + '.join(_DIGIT.format(j=j, weight=4 ** (7 - j)) for j in range(8))}) AS h FROM S)"
 
 
 def _one(c: Column | str) -> Column:
@@ -110,9 +111,9 @@ def trim_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", L.trim_quality("p_type", 32).alias("kept"))
 
 
-@query(f"WITH {_S} SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, least(15, length(s)) + 1), lambda i: CAST(instr('ACGT', substr(s, i, 1)) - 1 AS BIGINT))), lambda h, r: h * 4 + r) AS hash FROM S")
+@query("WITH S AS (SELECT p_partkey, regexp_replace(upper(p_name), '[^ACGT]', '', 'g') AS s FROM part) SELECT p_partkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length(s) + 1), lambda i: CAST(instr('ACGT', substr(s, i, 1)) - 1 AS BIGINT))), lambda h, r: h * 4 + r) AS hash FROM S")
 def seq_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _seqs(spark, sf_dir).select("doc_id", L.sequence_hash(F.substring("s", 1, 15), "dna4").alias("hash"))
+    return _t(spark, sf_dir, "part").select("p_partkey", L.sequence_hash(F.regexp_replace(F.upper("p_name"), "[^ACGT]", ""), "dna4").alias("hash"))
 
 
 @query("SELECT a.n_nationkey AS n_nationkey1, b.n_nationkey AS n_nationkey2, a.n_name AS n_name1, b.n_name AS n_name2 FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
@@ -169,57 +170,20 @@ for _name, _options in _ROWS_ONLY.items():
     _alignment(_name, _options)
 
 
-def _needles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 24).alias("query"))
-
-
 def _haystack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("reference_id"), "text")
 
 
-@query(
-    "WITH q AS (SELECT item_id AS query_id, substr(text, 1, 24) AS q FROM benchmark), d AS (SELECT doc_id AS reference_id, text, q.query_id, q.q FROM documents JOIN q ON contains(text, q.q)) SELECT query_id, reference_id, i - 1 AS reference_begin_position FROM (SELECT query_id, reference_id, text, q, unnest(range(1, length(text) + 1)) AS i FROM d) WHERE substr(text, i, 24) = q"
-)
-def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = srch.search(_needles(spark, sf_dir), _haystack(spark, sf_dir), k=16)
-    return hits.select("query_id", "reference_id", _one("reference_begin_position").alias("reference_begin_position"))
-
-
 @query(
     "WITH d AS (SELECT item_id AS query_id, doc_id AS reference_id, documents.text, benchmark.text AS q FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)) SELECT query_id, reference_id, i - 1 AS reference_begin_position FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM d) WHERE substr(text, i, length(q)) = q"
 )
-def search_exact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     hits = srch.search(whole, _haystack(spark, sf_dir), k=16)
     return hits.select("query_id", "reference_id", _one("reference_begin_position").alias("reference_begin_position"))
 
 
-_HAM = "WITH q AS (SELECT p_partkey AS query_id, substr(p_name, 1, 9) AS q FROM part WHERE p_partkey <= 40), H AS (SELECT q.query_id, p.p_partkey AS reference_id, i - 1 AS reference_begin_position, hamming(substr(p.p_name, i, 9), q.q) AS errors FROM q, (SELECT p_partkey, p_name, unnest(range(1, length(p_name) - 7)) AS i FROM part) p WHERE length(q.q) = 9 AND length(substr(p.p_name, i, 9)) = 9)"
-
-
-def _hamming_hits(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
-    part = _t(spark, sf_dir, "part")
-    q = part.where("p_partkey <= 40 AND length(p_name) >= 9").select(F.col("p_partkey").alias("query_id"), F.substring("p_name", 1, 9).alias("query"))
-    hits = srch.search(q, part.select(F.col("p_partkey").alias("reference_id"), F.col("p_name").alias("text")), SearchConfig(substitution=1, **options), k=4)
-    return hits.select("query_id", "reference_id", _one("reference_begin_position").alias("reference_begin_position"), _one("errors").alias("errors"))
-
-
-@query(f"{_HAM} SELECT * FROM H WHERE errors <= 1")
-def search_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hamming_hits(spark, sf_dir)
-
-
-@query(f"{_HAM} SELECT query_id, reference_id, reference_begin_position, errors FROM (SELECT *, min(errors) OVER (PARTITION BY query_id) AS b FROM H WHERE errors <= 1) WHERE errors = b")
-def hit_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hamming_hits(spark, sf_dir, hit="all_best")
-
-
-@query(f"{_HAM} SELECT query_id, count(*) AS n FROM H WHERE errors <= 1 GROUP BY query_id")
-def hit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return srch.count_hits(_hamming_hits(spark, sf_dir))
-
-
-_HAM_WHOLE = "WITH H AS (SELECT q.p_partkey AS query_id, p.p_partkey AS reference_id, i - 1 AS reference_begin_position, hamming(substr(p.p_name, i, length(q.p_name)), q.p_name) AS errors FROM part q, (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part) p WHERE length(substr(p.p_name, i, length(q.p_name))) = length(q.p_name))"
+_HAM = "WITH H AS (SELECT q.p_partkey AS query_id, p.p_partkey AS reference_id, i - 1 AS reference_begin_position, hamming(substr(p.p_name, i, length(q.p_name)), q.p_name) AS errors FROM part q, (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part) p WHERE length(substr(p.p_name, i, length(q.p_name))) = length(q.p_name))"
 
 
 def _whole_hits(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
@@ -233,30 +197,23 @@ def _whole_hits(spark: SparkSession, sf_dir: str, **options: object) -> DataFram
     return hits.select(F.col("asks").alias("query_id"), F.col("held").alias("reference_id"), _one("reference_begin_position").alias("reference_begin_position"), _one("errors").alias("errors"))
 
 
-@query(f"{_HAM_WHOLE} SELECT * FROM H WHERE errors <= 1")
-def search_hamming_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"{_HAM} SELECT * FROM H WHERE errors <= 1")
+def search_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_hits(spark, sf_dir)
 
 
-@query(f"{_HAM_WHOLE} SELECT query_id, reference_id, reference_begin_position, errors FROM (SELECT *, min(errors) OVER (PARTITION BY query_id) AS b FROM H WHERE errors <= 1) WHERE errors = b")
-def hit_best_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"{_HAM} SELECT query_id, reference_id, reference_begin_position, errors FROM (SELECT *, min(errors) OVER (PARTITION BY query_id) AS b FROM H WHERE errors <= 1) WHERE errors = b")
+def hit_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_hits(spark, sf_dir, hit="all_best")
 
 
-@query(f"{_HAM_WHOLE} SELECT query_id, count(*) AS n FROM H WHERE errors <= 1 GROUP BY query_id")
-def hit_count_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"{_HAM} SELECT query_id, count(*) AS n FROM H WHERE errors <= 1 GROUP BY query_id")
+def hit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srch.count_hits(_whole_hits(spark, sf_dir))
 
 
-@query(f"WITH {_S}, {_K8}, P AS (SELECT DISTINCT lang, x FROM (SELECT lang, unnest(h) AS x FROM K JOIN documents USING (doc_id) WHERE doc_id % 2 = 0)), V AS (SELECT unnest(h) AS x FROM K WHERE doc_id % 2 = 1) SELECT lang AS bin, count(*) AS n FROM P JOIN V USING (x) GROUP BY lang")
-def bin_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _seqs(spark, sf_dir).select("doc_id", F.explode(kmers.kmer_hash("s", 8)).alias("x"))
-    lang = _t(spark, sf_dir, "documents").select("doc_id", "lang")
-    return filters.exact_bin_count(h.where("doc_id % 2 = 0").join(lang, "doc_id"), h.where("doc_id % 2 = 1"), "x", "lang")
-
-
 @query(f"WITH {_S}, {_K8}, V AS (SELECT doc_id, unnest(h) AS x FROM K), P AS (SELECT DISTINCT lang, x FROM V JOIN documents USING (doc_id)) SELECT lang AS bin, count(*) AS n FROM P JOIN V USING (x) GROUP BY lang")
-def bin_count_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bin_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _seqs(spark, sf_dir).select("doc_id", F.explode(kmers.kmer_hash("s", 8)).alias("x"))
     return filters.exact_bin_count(h.join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"), h, "x", "lang")
 
@@ -289,14 +246,8 @@ def semi_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey, "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_orderkey % 10 = 0)")
-def anti_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
-
-
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)")
-def anti_prefilter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def anti_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
@@ -345,8 +296,11 @@ def set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from seqframe import operator_queries  # registers its own
+
+    return operator_queries.registered()
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -160,7 +160,8 @@ def write_sam(records: DataFrame, path: str, refs: list[tuple[str, int]]) -> Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], ["value"])
-        yield from batches
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
 
     sam_lines(records).mapInArrow(run, "value string").write.text(path)
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,53 @@ def test_affine():
         affine("AC", "ACGTACGT", band=(0, 1))
 
 
+def gotoh(a, b, free, local, band):
+    """Best score by the plain recursion over cells."""
+    low, best = -(10**6), -(10**6)
+    h, e, f = {}, {}, {}
+    for c in range(len(a) + 1):
+        for r in range(len(b) + 1):
+            if band and not band[0] <= c - r <= band[1]:
+                continue
+            e[c, r] = max(h.get((c - 1, r), low) - 11, e.get((c - 1, r), low) - 1)
+            f[c, r] = max(h.get((c, r - 1), low) - 11, f.get((c, r - 1), low) - 1)
+            start = (c, r) == (0, 0) or local or (r == 0 and free[0]) or (c == 0 and free[2])
+            diagonal = h.get((c - 1, r - 1), low) + (4 if c and r and a[c - 1] == b[r - 1] else -5)
+            h[c, r] = max(0 if start else low, diagonal, e[c, r], f[c, r])
+            if local or (c, r) == (len(a), len(b)) or (free[1] and r == len(b)) or (free[3] and c == len(a)):
+                best = max(best, h[c, r])
+    return best
+
+
+def cost(x, y):
+    """Score of an aligned pair."""
+    out, gap = 0, ""
+    for p, q in zip(x, y, strict=True):
+        kind = "x" if p == "-" else "y" if q == "-" else ""
+        out += (-1 if kind == gap else -11) if kind else 4 if p == q else -5
+        gap = kind
+    return out
+
+
+@pytest.mark.parametrize("mode", [{}, {"local": True}, {"free": (True, True, False, False)}, {"free": (False, False, True, True)}, {"free": (True,) * 4}, {"band": (-9, 9)}, {"band": (-2, 3), "free": (True,) * 4}])
+def test_batches_of_pairs(mode, monkeypatch):
+    """Scores against the plain recursion, aligned parts against the scores, in blocks of several sizes."""
+    rng = random.Random(4)
+    pairs = [("".join(rng.choices("ACGT", k=rng.randint(0, 9))), "".join(rng.choices("ACGT", k=rng.randint(0, 9)))) for _ in range(150)]
+    score = lambda p, q: 4 if p == q else -5
+    whole = A.affine_all(pairs, score, -10, -1, **mode)
+    for (a, b), r in zip(pairs, whole, strict=True):
+        assert r.score == gotoh(a, b, mode.get("free", (False,) * 4), mode.get("local", False), mode.get("band"))
+        assert cost(r.aligned1, r.aligned2) == r.score
+        assert (r.aligned1.replace("-", ""), r.aligned2.replace("-", "")) == (a[r.begin1 : r.end1], b[r.begin2 : r.end2])
+    monkeypatch.setattr(A, "CELLS", 200)
+    assert A.affine_all(pairs, score, -10, -1, **mode) == whole
+
+
+def test_long_query():
+    assert least_errors("ACGT" * 1000, 0, "ACGT" * 500 + "A" + "ACGT" * 400, 2, 2, 2, 2) == 1
+
+
 def test_edit():
     r = A.edit("AACCGGTTAACCGGTT", "ACGTACGTA")
     assert (r.score, r.aligned2) == (-8, "A-C-G-T-A-C-G-TA")
