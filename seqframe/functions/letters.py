@@ -74,15 +74,18 @@ def reverse_complement(seq: str | Column, of: str | Alphabet = "dna15") -> Colum
 
 
 def translate_triplet(n1: str | Column, n2: str | Column, n3: str | Column) -> Column:
-    return _amino(F.concat(_c(n1), _c(n2), _c(n3)))
+    return _amino(_dna(F.concat(_c(n1), _c(n2), _c(n3))))
+
+
+def _dna(seq: Column) -> Column:
+    return F.translate(F.upper(seq), "U", "T")
 
 
 def _amino(codon: Column) -> Column:
-    """Amino acid of a DNA or RNA codon: the place of each base in TCAG selects a letter of the genetic code; other codes by their common amino acid."""
+    """Amino acid of a DNA codon in upper case: the place of each base in TCAG selects a letter of the genetic code; other codes by their common amino acid."""
     table = codons()
     order = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
     code = F.lit("".join(table[x] for x in order))
-    codon = F.translate(F.upper(codon), "U", "T")
     at = [F.instr(F.lit("TCAG"), F.substring(codon, i, 1)) for i in (1, 2, 3)]
     plain = F.substr(code, (at[0] - 1) * 16 + (at[1] - 1) * 4 + at[2], F.lit(1))
     wide = {k: v for k, v in codons("ABCDGHKMNRSTVWY").items() if v != "X" and set(k) - set("ACGT")}
@@ -95,7 +98,7 @@ def translate_single(seq: str | Column, frame: int = 0, reverse: bool = False) -
 
     The codons come from one pass of a pattern over the sequence, so the work grows with its length.
     """
-    s = F.reverse(complement(F.translate(F.upper(_c(seq)), "U", "T"))) if reverse else _c(seq)
+    s = F.reverse(complement(_dna(_c(seq)))) if reverse else _dna(_c(seq))
     return F.array_join(F.transform(F.regexp_extract_all(F.substr(s, F.lit(frame + 1)), F.lit("(?s)..."), F.lit(0)), _amino), "")
 
 

@@ -74,12 +74,12 @@ def minimiser(v: np.ndarray, w: int) -> np.ndarray:
     at = np.arange(len(windows)) + w - 1 - windows[:, ::-1].argmin(axis=1)  # the rightmost least value
     least = v[at]
     # a value counts until it leaves the window or a smaller one comes in; equal ones don't take over before
-    below = np.r_[least[1:] < least[:-1], True]  # the next window has a smaller least value
-    falls = np.flatnonzero(below)
+    falls = np.flatnonzero(np.r_[least[1:] < least[:-1], True])  # the next window has a smaller least value
+    fall, place = falls[np.searchsorted(falls, np.arange(len(windows)))].tolist(), at.tolist()
     out, i = [], 0
-    while i < len(windows):
-        out.append(int(at[i]))
-        i = min(out[-1], int(falls[np.searchsorted(falls, i)])) + 1
+    while i < len(place):
+        out.append(place[i])
+        i = min(place[i], fall[i]) + 1
     return v[out]
 
 

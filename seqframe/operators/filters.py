@@ -1,22 +1,43 @@
 """Bloom and interleaved Bloom filters as tables of set bits.
 
-A filter is a table (slot, word, bits) for a plain filter, or (bin, slot) for an interleaved one:
-building it is an aggregation with partial results, membership a join on the slot. A filter grows
-with what was put in, so nothing here is broadcast.
+A filter is a table of distinct slots, or of (bin, slot) for an interleaved one: building it is an
+aggregation with partial results. A filter of at most BITS bits is packed into 64-bit words and
+broadcast, so that membership is a lookup in each task, without a shuffle; that of a larger one is a
+join on the slot.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.functions.letters import _c
 from seqframe.kernels import sequences as kernel
 
 
+#: Bits of a filter that is broadcast, at most: 8 MB.
+BITS = 1 << 26
+
+
+def _words(table: DataFrame, place: Column, n: int) -> np.ndarray:
+    """The bits at these places as 64-bit words; the driver gets a row for each word that isn't zero."""
+    rows = table.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits")).collect()
+    out = np.zeros(-(-n // 64), np.int64)
+    for r in rows:
+        out[r.w] = r.bits
+    return out
+
+
+def _hashed(values: pd.Series, size: int, hashes: int) -> np.ndarray:
+    """hash function x value: the slots."""
+    x = values.to_numpy("int64").view("uint64")
+    return np.array([kernel.hash_and_fit(x, size, kernel.HASH_SEEDS[i]).view("int64") for i in range(hashes)]).reshape(hashes, len(x))
+
+
 def slots(value: str | Column, size: int, hashes: int = 2) -> Column:
     """array<bigint>: the slots of a value."""
     if size < 1 or not 1 <= hashes <= 5:
@@ -24,8 +45,7 @@ def slots(value: str | Column, size: int, hashes: int = 2) -> Column:
 
     @F.pandas_udf("array<bigint>")
     def run(v: pd.Series) -> pd.Series:
-        x = v.to_numpy("int64").view("uint64")
-        return pd.Series(list(pd.DataFrame({i: kernel.hash_and_fit(x, size, kernel.HASH_SEEDS[i]).view("int64") for i in range(hashes)}).to_numpy()))
+        return pd.Series(list(_hashed(v, size, hashes).T))
 
     return run(_c(value))
 
@@ -43,7 +63,16 @@ class BloomFilter:
         return cls(values.where(F.col(value).isNotNull()).select(F.explode(slots(value, size, hashes)).alias("slot")).distinct(), size, hashes)
 
     def contains(self, df: DataFrame, value: str, name: str = "contained") -> DataFrame:
-        """df with a boolean column: whether all slots of the value are set."""
+        """df with a boolean column: whether all slots of the value are set; null is not contained."""
+        if self.size <= BITS:
+            shared, size, hashes = df.sparkSession.sparkContext.broadcast(_words(self.table, F.col("slot"), self.size)), self.size, self.hashes
+
+            @F.pandas_udf("boolean")
+            def look(v: pd.Series) -> pd.Series:
+                at = _hashed(v, size, hashes)
+                return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).all(axis=0))
+
+            return df.withColumn(name, F.col(value).isNotNull() & look(F.coalesce(F.col(value), F.lit(0)).cast("bigint")))
         asked = df.select(F.col(value).alias("_v")).distinct().where("_v IS NOT NULL")
         asked = asked.select("_v", F.explode(F.array_distinct(slots("_v", self.size, self.hashes))).alias("slot"))
         seen = asked.join(self.table.withColumn("_s", F.lit(1)), "slot", "left").groupBy("_v").agg((F.count("_s") == F.count("slot")).alias(name))
@@ -55,6 +84,17 @@ class BloomFilter:
     def reset(self) -> BloomFilter:
         return BloomFilter(self.table.limit(0), self.size, self.hashes)
 
+    def semi_join(self, df: DataFrame, value: str) -> DataFrame:
+        """Rows of df that the filter may contain: a prefilter before an exact join."""
+        return self.contains(df, value, "_c").where("_c").drop("_c")
+
+    def save(self, path: str) -> None:
+        _save(self.table, path, {"size": self.size, "hashes": self.hashes})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BloomFilter:
+        return cls(*_load(spark, path, ("size", "hashes")))
+
 
 @dataclass(frozen=True)
 class InterleavedBloomFilter:
@@ -83,6 +123,17 @@ class InterleavedBloomFilter:
     def bulk_contains(self, df: DataFrame, value: str) -> DataFrame:
         """(value, bin): the bins that may contain each distinct value."""
         asked = df.select(F.col(value).alias("value")).distinct().where("value IS NOT NULL")
+        if self.bit_size <= BITS:
+            wide, size, hashes = self.technical_bins, self.size, self.hashes
+            words = _words(self.table, F.col("slot") * wide + F.col("bin"), self.bit_size).reshape(size, wide // 64)
+            shared = df.sparkSession.sparkContext.broadcast(words)
+
+            @F.pandas_udf("array<bigint>")
+            def look(v: pd.Series) -> pd.Series:
+                held = np.bitwise_and.reduce(shared.value[_hashed(v, size, hashes)], axis=0)
+                return pd.Series([np.flatnonzero(np.unpackbits(row.view(np.uint8), bitorder="little")) for row in np.ascontiguousarray(held)])
+
+            return asked.select("value", F.explode(look(F.col("value").cast("bigint"))).alias("bin"))
         asked = asked.withColumn("slots", F.array_distinct(slots("value", self.size, self.hashes)))
         each = asked.select("value", F.size("slots").alias("n"), F.explode("slots").alias("slot"))
         return each.join(self.table, "slot").groupBy("value", "bin").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where("k = n").select("value", "bin")
@@ -103,7 +154,21 @@ class InterleavedBloomFilter:
         return InterleavedBloomFilter(self.table, bins, self.size, self.hashes)
 
     def save(self, path: str) -> None:
-        self.table.write.parquet(path)
+        _save(self.table, path, {"bins": self.bins, "size": self.size, "hashes": self.hashes})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> InterleavedBloomFilter:
+        return cls(*_load(spark, path, ("bins", "size", "hashes")))
+
+
+def _save(table: DataFrame, path: str, shape: dict[str, int]) -> None:
+    table.write.parquet(f"{path}/table")
+    table.sparkSession.createDataFrame([tuple(shape.values())], ", ".join(f"{k} long" for k in shape)).write.parquet(f"{path}/shape")
+
+
+def _load(spark: SparkSession, path: str, names: tuple[str, ...]) -> tuple:
+    shape = spark.read.parquet(f"{path}/shape").first()
+    return spark.read.parquet(f"{path}/table"), *(shape[n] for n in names)
 
 
 def exact_bin_count(postings: DataFrame, values: DataFrame, value: str, bin_col: str) -> DataFrame:

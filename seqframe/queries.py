@@ -241,15 +241,19 @@ def ibf_bulk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
 def semi_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer").where("c_acctbal < 0")
-    o = _t(spark, sf_dir, "orders")
+    """A filter of the customers drops most orders before the exact join."""
+    c = _t(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")
+    o = filters.BloomFilter.build(c, "c_custkey", 1 << 20, 3).semi_join(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
     return o.join(c, o.o_custkey == c.c_custkey, "left_semi").select("o_orderkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)")
 def anti_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    """What a filter of the orders doesn't contain has none; only the rest needs the exact join."""
+    c, o = _t(spark, sf_dir, "customer").select("c_custkey"), _t(spark, sf_dir, "orders").select("o_custkey")
+    asked = filters.BloomFilter.build(o, "o_custkey", 1 << 20, 3).contains(c, "c_custkey")
+    some = asked.where("contained").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return asked.where("NOT contained").select("c_custkey").union(some.select("c_custkey"))
 
 
 _ORD = "l_linenumber, l_partkey, l_suppkey, l_shipdate"
