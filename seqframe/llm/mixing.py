@@ -42,8 +42,8 @@ def _floor(p: np.ndarray, kept: int, least: float) -> np.ndarray:
     return np.where(p.argmax(axis=1) == kept, least, 0.0) if len(p) else np.zeros(0)
 
 
-def _rates(p: np.ndarray, dual: np.ndarray, floor: np.ndarray) -> np.ndarray:
-    return np.maximum(floor, 1 + p @ dual)
+def _rates(p: np.ndarray, dual: np.ndarray, floor: np.ndarray, most: float = np.inf) -> np.ndarray:
+    return np.clip(1 + p @ dual, floor, most)
 
 
 def _matrix(b: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +66,7 @@ def _total(table: DataFrame, d: int, fn) -> np.ndarray:  # noqa: ANN001
     return np.array([r.x for r in sorted(rows, key=lambda r: r.place)])
 
 
-def _solve(table: DataFrame, natural: np.ndarray, target: np.ndarray, kept: int, least: float, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+def _solve(table: DataFrame, natural: np.ndarray, target: np.ndarray, kept: int, least: float, steps: int, tolerance: float, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
     """(dual, expected tokens) for the targets; natural are the sums of n p."""
     d, size = len(target), natural.sum()
     dual, far = np.zeros(d), np.inf
@@ -75,8 +75,8 @@ def _solve(table: DataFrame, natural: np.ndarray, target: np.ndarray, kept: int,
         out = []
         floor = _floor(p, kept, least)
         for x in duals:
-            r = _rates(p, x, floor)
-            out.append(np.concatenate([[n @ (r * (p @ x) - (r - 1) ** 2 / 2)], (n * r) @ p, ((p * (n * (r > floor))[:, None]).T @ p).ravel()]))
+            r = _rates(p, x, floor, most)
+            out.append(np.concatenate([[n @ (r * (p @ x) - (r - 1) ** 2 / 2)], (n * r) @ p, ((p * (n * ((r > floor) & (r < most)))[:, None]).T @ p).ravel()]))
         return np.array(out).ravel()
 
     first = _total(table, d, lambda p, n: sums(p, n, dual[None]))  # all rates 1, or their floors
@@ -103,7 +103,7 @@ def _solve(table: DataFrame, natural: np.ndarray, target: np.ndarray, kept: int,
     return dual, expected
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep: str | None = None, least: float = 0.0, max_train: int = 3000, steps: int = 100, tolerance: float = 1e-6, key: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, dict]:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep: str | None = None, least: float = 0.0, most: float = np.inf, max_train: int = 3000, steps: int = 100, tolerance: float = 1e-6, key: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, dict]:
     """(table, report): key..., n_words, domain, p, rate of every row; targets, expected and natural tokens, and whether they met.
 
     A domain has met its target within tolerance times the target. If some have not after the last
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     if size > 0 and share.sum() > 0:
         share = share / share.sum()
         target = share * (natural[k] / share[k] if k >= 0 and share[k] > 0 else size)
-        dual, expected = _solve(table, natural, target, k, least, steps, tolerance)
+        dual, expected = _solve(table, natural, target, k, least, steps, tolerance, most)
     met = np.abs(expected - target) <= tolerance * target
     if not met.all():
         short = ", ".join(f"{x}: {e:.0f} of {t:.0f}" for x, e, t, m in zip(names, expected, target, met, strict=True) if not m)
@@ -139,7 +139,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
         for b in batches:
             p, _ = _matrix(b, d)
             domain = pa.array([names[x] for x in p.argmax(axis=1)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, domain, pa.array(_rates(p, dual, _floor(p, k, least)))], [*b.schema.names, "domain", "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, domain, pa.array(_rates(p, dual, _floor(p, k, least), most))], [*b.schema.names, "domain", "rate"])
 
     rated = map_batches(table, run, "".join(f"`{c}` long, " for c in key) + "p array<double>, n_words long, domain string, rate double", 8192)
     report = {n: {"natural": a, "target": t, "expected": e, "met": bool(m)} for n, a, t, e, m in zip(names, natural, target, expected, met, strict=True)}

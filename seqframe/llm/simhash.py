@@ -32,10 +32,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.util import components, map_batches, materialise, release, utf8
+from seqframe.llm.util import components, map_batches, materialise, release, utf8, with_totals
 
 SEGMENTS = 32
 SEED = 42
@@ -248,9 +248,11 @@ def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, text_col: st
     fps is with_fingerprints(docs, with_bands=True). Equal texts are one node here, whatever their number.
     """
     nodes = fps.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    w = Window.partitionBy("band")
-    entries = nodes.select("key", "fp", F.explode("bands").alias("band")).withColumn("hub", F.min("key").over(w)).withColumn("last", F.max("key").over(w))
-    entries = materialise(entries.where("hub < last").drop("last"), "bands")
+    entries = nodes.select("key", "fp", F.explode("bands").alias("band"))
+    ends = F.struct(F.min("key").alias("hub"), F.max("key").alias("last")).alias("ends")
+    entries, shared = with_totals(entries, ["band"], ["key"], ends, "ends.hub < ends.last")
+    entries = materialise(entries.select("key", "fp", "band", F.col("ends.hub").alias("hub")), "bands")
+    release(shared)
     met = entries.select("key").distinct()
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(met, "key", "left_semi")
     texts = materialise(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")

@@ -10,6 +10,8 @@ from seqframe.llm import language, mixing, pieces, quality, simhash, substring
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least share of a document's letters that its language must have.
 LEAST_SHARE = 0.5
+#: How often a document can enter the mixture.
+MOST_COPIES = 16
 
 
 def keep_language(docs: DataFrame) -> DataFrame:
@@ -53,14 +55,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents as often as their rate says; those likeliest of the clean domain have a rate of one or more.
+    """Documents as often as their rate says; those likeliest of the clean domain have a rate of one or more, none of more than MOST_COPIES.
 
     Rows of the same identifier and text enter equally often; null identifiers and texts stay rows of
     their own. Columns but those of documents are dropped; an empty table stays empty.
     """
     clean = "q1t0"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    rates, _ = mixing.mix(rows, labels, keep=clean, least=1.0, key=("doc_id", "key"))
+    rates, _ = mixing.mix(rows, labels, keep=clean, least=1.0, most=MOST_COPIES, key=("doc_id", "key"))
     rates = rates.select(F.col("doc_id").alias("id"), "key", mixing.copies(key=("doc_id", "key")).cast("int").alias("often")).where("often > 0").dropDuplicates(["id", "key"])
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), F.struct(*COLUMNS).alias("row"))
     out = rows.join(rates, rows["id"].eqNullSafe(rates["id"]) & (rows["key"] == rates["key"]))

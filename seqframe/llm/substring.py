@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.llm.automaton import SuffixAutomaton
-from seqframe.llm.util import map_batches, materialise, release, utf8
+from seqframe.llm.util import map_batches, materialise, release, utf8, with_totals
 
 WINDOW, GRAM = 20, 8
 #: Passages, and bytes of passages, of a shard for one task; a shard with more is dealt to several.
@@ -41,8 +41,6 @@ DEAL, DEAL_BYTES = 256, 1 << 19
 SEGMENT = 4096
 #: Spans that a task holds before it sends them on.
 SPANS = 16384
-#: Parts into which the rows of one gram, shard or window are dealt for joins; 64 at most, bits of a long.
-SALTS = 64
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -172,19 +170,6 @@ def _stream(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield batch()
 
 
-def _with_totals(rows: DataFrame, keys: list[str], spread: list[str], total: Column, where: str = "true") -> tuple[DataFrame, DataFrame]:
-    """(rows with an aggregate of all rows of their keys, table of those aggregates).
-
-    The aggregation sends one row a task and key, with a bit for each salt that the key's rows have; the
-    join back is by keys and salt, a hash of other columns, so that no task gets all rows of one key.
-    """
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    whole = rows.groupBy(*keys).agg(total, F.expr("bit_or(shiftleft(1L, salt))").alias("salts")).where(where)
-    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1)
-    whole = materialise(whole.withColumn("salt", F.explode(salts)).drop("salts"), "totals")
-    return rows.join(whole, [*keys, "salt"]).drop("salt"), whole
-
-
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_row: bool = False) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of every row of docs; with_row: row (all its columns), n_removed, and kept, the words left
     joined by a space, which is null where none was removed.
@@ -210,9 +195,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(w) for w in split], pa.int64()), pa.array([_summary(w) for w in split])], ["id", "d", "t", "n_words", "sha"])
 
     found = map_batches(keyed.select("d", "t", "text"), find, "g long, d long, t long, word int")
-    counts, repeated = _with_totals(found, ["g"], ["d", "word"], F.count(F.lit(1)).alias("n"), "n > 1")
+    counts, repeated = with_totals(found, ["g"], ["d", "word"], F.count(F.lit(1)).alias("n"), "n > 1")
     again = materialise(counts.drop("n"), "anchors")
-    owned, owners = _with_totals(again, ["g"], ["d", "word"], F.min(F.struct("d", "t", "word")).alias("o"))
+    owned, owners = with_totals(again, ["g"], ["d", "word"], F.min(F.struct("d", "t", "word")).alias("o"))
     stretch = F.floor(F.col("o.word") / SEGMENT).cast("int")
     places = owned.groupBy("d", "t").agg(F.collect_set(F.struct(F.col("o.d").alias("s_d"), F.col("o.t").alias("s_t"), stretch.alias("s_w"), "word")).alias("places"))
     # documents with repeated anchors, their texts and places
@@ -237,7 +222,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     passages = materialise(map_batches(touched, cut, "s_d long, s_t long, s_w int, d long, t long, start int, passage binary"), "passages")
     share = F.greatest(F.count(F.lit(1)) / DEAL, F.sum(F.length("passage")) / DEAL_BYTES)
     shard = ["s_d", "s_t", "s_w"]
-    asked, sizes = _with_totals(passages, shard, ["d", "t", "start"], F.ceil(share).cast("int").alias("deals"))
+    asked, sizes = with_totals(passages, shard, ["d", "t", "start"], F.ceil(share).cast("int").alias("deals"))
     streamed = asked.withColumn("deal", F.pmod(F.xxhash64("d", "t", "start"), F.col("deals")).cast("int")).withColumn("reference", F.lit(False))
     within = F.col("start").between(F.col("s_w") * SEGMENT - window, (F.col("s_w") + 1) * SEGMENT)
     shards = asked.where((F.col("deals") > 1) & (F.col("s_d") == F.col("d")) & (F.col("s_t") == F.col("t")) & within)
@@ -247,7 +232,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.sortWithinPartitions(*shard, "deal", F.col("reference").desc(), "d", "t", "start")
     spans = materialise(map_batches(rows, lambda batches: _stream(batches, window), "d long, t long, first long, end long, words binary"), "spans")
     release(passages, sizes)
-    timed, _ = _with_totals(spans.where("words IS NOT NULL"), ["words"], ["d", "first"], F.min(F.struct("d", "t", "first")).alias("at"))
+    timed, _ = with_totals(spans.where("words IS NOT NULL"), ["words"], ["d", "first"], F.min(F.struct("d", "t", "first")).alias("at"))
     later = timed.where(F.struct("d", "t", "first") > F.col("at")).select("d", "t", "first", "end")
     removed = spans.where("words IS NULL").select("d", "t", "first", "end").union(later).groupBy("d", "t").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 

@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one block of rows that a function gets at once.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
+#: Parts into which the rows of one key are dealt for joins; 64 at most, bits of a long.
+SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -167,6 +169,19 @@ def gram_buckets(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
     return np.column_stack(values)[picked], np.add.reduceat(picked.sum(axis=1), starts)
 
 
+def with_totals(rows: DataFrame, keys: list[str], spread: list[str], total: Column, where: str = "true") -> tuple[DataFrame, DataFrame]:
+    """(rows with an aggregate of all rows of their keys, table of those aggregates).
+
+    The aggregation sends one row a task and key, with a bit for each salt that the key's rows have; the
+    join back is by keys and salt, a hash of other columns, so that no task gets all rows of one key.
+    """
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    whole = rows.groupBy(*keys).agg(total, F.expr("bit_or(shiftleft(1L, salt))").alias("salts")).where(where)
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1)
+    whole = materialise(whole.withColumn("salt", F.explode(salts)).drop("salts"), "totals")
+    return rows.join(whole, [*keys, "salt"]).drop("salt"), whole
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a long, b long); equal roots: connected.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seqframe.llm import ann, iblt, language, licenses, mixing, pieces, quality, simhash, sstable, substring
+from seqframe.llm.util import with_totals
 
 A = " ".join(f"w{i}" for i in range(60))
 B = " ".join(f"v{i}" for i in range(60))
@@ -215,19 +216,19 @@ def test_mixing_against_dense_solver(spark):
     table = spark.createDataFrame([(x.tolist(), int(k)) for x, k in zip(p, n, strict=True)], "p array<double>, n_words long").repartition(3)
     natural = n @ p
     target = np.array([0.2, 0.3, 0.5]) * natural.sum()
-    for kept, least in ((-1, 0.0), (0, 0.6)):
+    for kept, least, most in ((-1, 0.0, np.inf), (0, 0.6, np.inf), (0, 0.3, 2.2)):
         floor = mixing._floor(p, kept, least)
-        dual, expected = mixing._solve(table, natural, target, kept, least, 100, 1e-9)
+        dual, expected = mixing._solve(table, natural, target, kept, least, 100, 1e-9, most)
         assert expected == pytest.approx(target, rel=1e-6)
-        rates = mixing._rates(p, dual, floor)
+        rates = mixing._rates(p, dual, floor, most)
         size, x = n.sum(), np.zeros(3)
         y, t = x, 1.0
         for _ in range(20_000):  # the dual of least n (r - 1)^2 under the targets
-            r = np.maximum(floor, 1 + p @ y)
+            r = np.clip(1 + p @ y, floor, most)
             new = y - ((n * r) @ p - target) / size
             t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
             y, x = new + (old - 1) / t * (new - x), new
-        assert rates == pytest.approx(np.maximum(floor, 1 + p @ x), abs=1e-4)
+        assert rates == pytest.approx(np.clip(1 + p @ x, floor, most), abs=1e-4)
 
 
 def test_mixing_meets_every_target(spark):
@@ -379,7 +380,7 @@ def test_blocks(spark):
 
 def test_totals_of_frequent_keys(spark):
     rows = spark.range(5000).selectExpr("IF(id % 3 = 0, 0, id % 700) AS k", "id")
-    got, _ = substring._with_totals(rows, ["k"], ["id"], F.count(F.lit(1)).alias("n"), "n > 7")
+    got, _ = with_totals(rows, ["k"], ["id"], F.count(F.lit(1)).alias("n"), "n > 7")
     count = {}
     for r in rows.collect():
         count[r.k] = count.get(r.k, 0) + 1
