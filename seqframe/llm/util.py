@@ -78,6 +78,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator
         step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
         for at in range(0, max(1, b.num_rows), step):
             yield b.slice(at, step)
+        pa.default_memory_pool().release_unused()  # else the allocator keeps what a block took
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES) -> DataFrame:
