@@ -6,6 +6,7 @@ Every function takes and returns Columns and stays within Spark's own expression
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -133,6 +134,17 @@ def convert_quality(qual: str | Column, source: str, target: str) -> Column:
     return assign_phred_to(to_phred(qual, source), target)
 
 
+def convert(seq: str | Column, source: str | Alphabet, target: str | Alphabet) -> Column:
+    """Letters of one alphabet as those of another; what isn't a letter of the source raises an error."""
+    return char_to(char_strictly_to(seq, source), target)
+
+
+def rank_key(seq: str | Column, of: str | Alphabet) -> Column:
+    """A text that sorts as the sequence does by the ranks of its letters."""
+    a = alphabet(of)
+    return F.translate(char_to(seq, a), a.letters, "".join(chr(0x21 + i) for i in range(a.size)))
+
+
 def elements(col: str | Column, name: str) -> Column:
     return _c(col).getField(name)
 
@@ -154,6 +166,16 @@ def chunk(seq: str | Column, n: int) -> Column:
     return F.regexp_extract_all(_c(seq), F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
 
 
+def chunk_by(seq: str | Column, together: Callable[[Column, Column], Column]) -> Column:
+    """array<string>: a new block begins wherever together(letter, next letter) is false."""
+    s = _c(seq)
+    letters = F.filter(F.split(s, ""), lambda c: c != "")
+    n = F.size(letters)
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~together(F.get(letters, i - 1), F.get(letters, i)))
+    cut = F.transform(begins, lambda b, j: F.array_join(F.slice(letters, b + 1, F.coalesce(F.get(begins, j + 1), n) - b), ""))
+    return F.when(n > 0, cut).when(s.isNotNull(), F.array().cast("array<string>"))
+
+
 def join_with(parts: str | Column, sep: str) -> Column:
     return F.array_join(_c(parts), sep)
 
@@ -172,6 +194,16 @@ def take_until(seq: str | Column, stop: str) -> Column:
     return F.regexp_extract(_c(seq), f"^[^{_set(stop)}]*", 0)
 
 
+def take_until_or_throw(seq: str | Column, stop: str) -> Column:
+    """As take_until, but a sequence without a letter of stop raises an error."""
+    return F.when(_c(seq).rlike(f"[{_set(stop)}]"), take_until(seq, stop)).when(_c(seq).isNotNull(), F.raise_error(F.lit("reached end of input before the stop")).cast("string"))
+
+
+def rest_after(seq: str | Column, stop: str) -> Column:
+    """What follows the letters before stop and the whole run of letters of stop: the input that a consuming take_until leaves."""
+    return F.regexp_replace(_c(seq), f"^[^{_set(stop)}]*[{_set(stop)}]*", "")
+
+
 def take_line(text: str | Column) -> Column:
     return F.regexp_extract(_c(text), r"^[^\r\n]*", 0)
 

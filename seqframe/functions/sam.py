@@ -85,6 +85,25 @@ def tag_bytes(tags: str | Column, tag: str) -> Column:
     return F.unhex(F.element_at(_c(tags), tag)["value"])
 
 
+#: The types of the predefined tags that aren't text.
+TAG_KINDS = {t: "i" for t in "AM AS CM CP FI H0 H1 H2 HI IH MQ NH NM OP PQ SM TC UQ".split()} | {"CG": "BI", "FZ": "BS", "ML": "BC", "MN": "i", "TS": "A"}
+_GETTERS = {"i": tag_int, "f": tag_float, "Z": tag_string, "A": tag_string, "H": tag_bytes, "B": tag_array}
+
+
+def register_tag(tag: str, kind: str) -> None:
+    """Make the type of one's own tag known to tag_value(): A, i, f, Z, H, or B with a letter of the numbers."""
+    if len(tag) != 2 or not tag.isascii() or not tag[0].isalpha() or not tag.isalnum() or kind[:1] not in _GETTERS:
+        raise ValueError(f"not a tag and its type: {tag} {kind}")
+    if TAG_KINDS.get(tag, kind) != kind:
+        raise ValueError(f"{tag} has the type {TAG_KINDS[tag]}")
+    TAG_KINDS[tag] = kind
+
+
+def tag_value(tags: str | Column, tag: str) -> Column:
+    """The tag's value as a column of its own type; tags of no known type are text."""
+    return _GETTERS[TAG_KINDS.get(tag, "Z")[0]](tags, tag)
+
+
 def tag_strings(tags: str | Column) -> Column:
     """array of TAG:TYPE:VALUE, sorted by tag."""
     return F.transform(F.array_sort(F.map_entries(_c(tags))), lambda e: F.concat_ws(":", e["key"], e["value"]["type"], e["value"]["value"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seqframe.alphabet import alphabet
 from seqframe.functions.letters import _c
 from seqframe.kernels import align as kernel
 
@@ -26,6 +28,37 @@ def read_matrix(text: str) -> dict:
     return {"matrix": {(row[0], c): int(v) for row in lines[1:] for c, v in zip(lines[0], row[1:], strict=True)}}
 
 
+def _scores(of: str, score: Callable[[str, str], int]) -> dict:
+    a = alphabet(of)
+    table = {(p, q): score(p, q) for p in a.letters for q in a.letters}
+    if any(not -128 <= v <= 127 for v in table.values()):
+        raise ValueError("a score is not within -128 and 127")
+    return {"matrix": table, "alphabet": of}
+
+
+def nucleotide_scheme(match: int = 0, mismatch: int = -1, matrix: dict[tuple[str, str], int] | None = None) -> dict:
+    """Scores of letters after conversion to dna15; a matrix has a score for each pair of its 15 letters."""
+    return _scores("dna15", (lambda p, q: matrix[p, q]) if matrix else lambda p, q: match if p == q else mismatch)
+
+
+def aminoacid_scheme(matrix: str | dict[tuple[str, str], int]) -> dict:
+    """Scores of letters after conversion to aa27, from a matrix or its text. A letter without a row is scored as X."""
+    table = read_matrix(matrix)["matrix"] if isinstance(matrix, str) else matrix
+    held = {p for p, _ in table}
+    known = lambda c: c if c in held else "X"
+    return _scores("aa27", lambda p, q: table[known(p), known(q)])
+
+
+def scheme_text(scheme: dict) -> str:
+    """A scheme of numbers as text; scheme_of() reads it."""
+    return json.dumps(scheme | {"matrix": [[p, q, v] for (p, q), v in scheme["matrix"].items()]} if "matrix" in scheme else scheme)
+
+
+def scheme_of(text: str) -> dict:
+    out = json.loads(text)
+    return out | {"matrix": {(p, q): v for p, q, v in out["matrix"]}} if "matrix" in out else out
+
+
 @dataclass(frozen=True)
 class AlignConfig:
     """method: global or local; free_ends: leading and trailing ends of sequence 1, then of sequence 2."""
@@ -59,7 +92,11 @@ class AlignConfig:
             return self.scheme
         if "matrix" in self.scheme:
             table = self.scheme["matrix"]
-            return lambda p, q: table[p, q]
+            if "alphabet" not in self.scheme:
+                return lambda p, q: table[p, q]
+            a = alphabet(self.scheme["alphabet"])
+            letter = lambda c: a.mapping.get(c, a.default)
+            return lambda p, q: table[letter(p), letter(q)]
         m, x = self.scheme["match"], self.scheme["mismatch"]
         return lambda p, q: m if p == q else x
 
@@ -118,15 +155,36 @@ def alignment_from_cigar(cigar: str | Column, reference: str | Column, begin: st
     return run(_c(cigar), _c(reference), _c(begin), _c(query))
 
 
-def insert_gap(seq: str | Column, at: int, n: int = 1) -> Column:
-    s = _c(seq)
-    return F.concat(F.substring(s, 1, at), F.repeat(F.lit("-"), F.lit(n)), F.substr(s, F.lit(at + 1)))
+def _n(x: int | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def insert_gap(seq: str | Column, at: int | Column, n: int | Column = 1) -> Column:
+    """n gaps before place at (a number or a column)."""
+    s, at, n = _c(seq), _n(at), _n(n)
+    return F.concat(F.substr(s, F.lit(1), at), F.repeat(F.lit("-"), n), F.substr(s, at + 1))
 
 
-def erase_gap(seq: str | Column, at: int, n: int = 1) -> Column:
+def erase_gap(seq: str | Column, at: int | Column, n: int | Column = 1) -> Column:
     """n gaps from place at removed; a letter there raises an error."""
-    s = _c(seq)
-    return F.when(F.substring(s, at + 1, n) == "-" * n, F.concat(F.substring(s, 1, at), F.substr(s, F.lit(at + n + 1)))).otherwise(F.raise_error(F.lit("not a gap")).cast("string"))
+    s, at, n = _c(seq), _n(at), _n(n)
+    return F.when(F.substr(s, at + 1, n) == F.repeat(F.lit("-"), n), F.concat(F.substr(s, F.lit(1), at), F.substr(s, at + n + 1))).otherwise(F.raise_error(F.lit("not a gap")).cast("string"))
+
+
+def gap_runs(seq: str | Column) -> Column:
+    """array<struct<at, n>>: the gaps of a sequence, each with the place of the ungapped letter that follows it."""
+    pieces = F.regexp_extract_all(_c(seq), F.lit("(-+|[^-]+)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("runs"))
+    gap = lambda p: p.startswith("-")
+    step = lambda a, p: F.struct((a["at"] + F.when(gap(p), 0).otherwise(F.length(p))).alias("at"), F.when(gap(p), F.concat(a["runs"], F.array(F.struct(a["at"].alias("at"), F.length(p).alias("n"))))).otherwise(a["runs"]).alias("runs"))
+    return F.aggregate(pieces, start, step, lambda a: a["runs"])
+
+
+def with_gap_runs(seq: str | Column, runs: str | Column) -> Column:
+    """An ungapped sequence with the gaps of gap_runs()."""
+    s, r = _c(seq), _c(runs)
+    pieces = F.transform(r, lambda x, i: F.concat(F.substr(s, F.when(i == 0, 0).otherwise(F.get(r, i - 1)["at"]) + 1, x["at"] - F.when(i == 0, 0).otherwise(F.get(r, i - 1)["at"])), F.repeat(F.lit("-"), x["n"])))
+    return F.concat(F.array_join(pieces, ""), F.substr(s, F.coalesce(F.get(r, F.size(r) - 1)["at"], F.lit(0)) + 1))
 
 
 def ungapped(seq: str | Column) -> Column:

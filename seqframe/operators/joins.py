@@ -32,6 +32,13 @@ def _placed(df: DataFrame, order: str) -> DataFrame:
     return parted.join(F.broadcast(offsets), "_part").withColumn("_place", F.col("_before") + F.row_number().over(w)).drop("_part", "_before")
 
 
+def slice_rows(df: DataFrame, order: str, begin: int, end: int) -> DataFrame:
+    """Rows at places begin to end (half open, from 0) by a numeric order without ties."""
+    if end < begin:
+        raise ValueError("a slice ends before it begins")
+    return _placed(df, order).where(F.col("_place").between(begin + 1, end)).drop("_place")
+
+
 def with_references(records: DataFrame, references: DataFrame) -> DataFrame:
     """Records with the index of their reference; unknown names are what unknown_references() returns."""
     return records.join(references.select(F.col("name").alias("ref_id"), F.col("index").alias("ref_index")), "ref_id", "left")
@@ -41,11 +48,15 @@ def unknown_references(records: DataFrame, references: DataFrame) -> DataFrame:
     return records.where("ref_id IS NOT NULL").join(references.select(F.col("name").alias("ref_id")), "ref_id", "left_anti")
 
 
-def mates(records: DataFrame) -> DataFrame:
-    """Pairs of the first and second records of the same id."""
+def mates(records: DataFrame, placed: bool = False) -> DataFrame:
+    """Pairs of the first and second records of the same id; with placed, only those that name each other's place as their mate's."""
     first = records.where(F.col("flag").bitwiseAND(0x40) != 0)
     second = records.where(F.col("flag").bitwiseAND(0x80) != 0)
-    return first.alias("first").join(second.alias("second"), F.col("first.id") == F.col("second.id"))
+    pairs = first.alias("first").join(second.alias("second"), F.col("first.id") == F.col("second.id"))
+    if not placed:
+        return pairs
+    names = lambda a, b: F.col(f"{a}.mate.ref_id").eqNullSafe(F.col(f"{b}.ref_id")) & F.col(f"{a}.mate.pos").eqNullSafe(F.col(f"{b}.ref_offset"))
+    return pairs.where(names("first", "second") & names("second", "first"))
 
 
 def windows(hits: DataFrame, references: DataFrame, length: str, name: str = "window") -> DataFrame:

@@ -300,7 +300,7 @@ def set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from seqframe import operator_queries  # registers its own
+    from seqframe import further_queries, operator_queries  # noqa: F401  they register their own
 
     return operator_queries.registered()
 

@@ -7,13 +7,21 @@ in the tasks and use Spark's text writer, one file for each partition.
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from seqframe.functions import sam
+from seqframe.functions import sam, structure
 from seqframe.sources import text as T
 
 #: File name endings of each format.
@@ -23,6 +31,27 @@ EXTENSIONS = {
 }
 
 
+@dataclass(frozen=True)
+class Format:
+    """A record format: parse(text) yields rows of schema, write(rows) yields their text."""
+
+    schema: str
+    parse: Callable[[str], Iterator[tuple]]
+    write: Callable[[Iterator[tuple]], Iterator[str]] | None = None
+
+
+#: Formats added by their users.
+OWN: dict[str, Format] = {}
+
+
+def register_format(name: str, endings: tuple[str, ...], schema: str, parse: Callable[[str], Iterator[tuple]], write: Callable[[Iterator[tuple]], Iterator[str]] | None = None) -> None:
+    """Make one's own format known to read_records(), write_records() and format_of(); schema has string and double columns."""
+    taken = {e for n, es in EXTENSIONS.items() if n != name for e in es}
+    if name in EXTENSIONS and name not in OWN or taken & set(endings):
+        raise ValueError(f"{name} or its endings are taken")
+    EXTENSIONS[name], OWN[name] = endings, Format(schema, parse, write)
+
+
 def format_of(path: str) -> str:
     """Format by the ending, after those of compression; an unknown one raises an error."""
     parts = path.lower().rstrip("/").split(".")
@@ -34,50 +63,138 @@ def format_of(path: str) -> str:
     raise ValueError(f"unhandled extension: {path}")
 
 
-def _parsed(spark: SparkSession, path: str, parse: Callable[[str], Iterator[tuple]], schema: str, mode: str, stream: bool = False) -> DataFrame:
-    names = [f.split()[0] for f in schema.split(", ")]
+#: Rows of a batch that a reader sends on at once.
+ROWS = 4096
+
+
+def _parsed(spark: SparkSession, path: str, parse: Callable[[str], Iterator[tuple]], schema: str, mode: str, stream: bool = False, fields: tuple[str, ...] | None = None, max_files: int | None = None) -> DataFrame:
+    types = dict(f.split() for f in schema.split(", "))
+    names = list(fields or types)
+    if unknown := set(names) - set(types):
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    at = [list(types).index(n) for n in names]
     reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+
+    def rows(name: str, data: bytes) -> Iterator[tuple]:
+        try:
+            for row in parse(T.decompress(data).decode()):
+                yield *(row[i] for i in at), None
+        except T.ParseError as e:
+            if mode == "FAILFAST":
+                raise T.ParseError(f"{name}: {e}") from e
+            yield *(None,) * len(names), str(e)
+
+    kinds = [pa.float64() if types[n] == "double" else pa.string() for n in names] + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
-                try:
-                    for row in parse(T.decompress(data).decode()):
-                        rows.append((*row, None))
-                except T.ParseError as e:
-                    if mode == "FAILFAST":
-                        raise T.ParseError(f"{name}: {e}") from e
-                    rows.append((*(None,) * len(names), str(e)))
-                columns = list(zip(*rows, strict=True)) or [()] * (len(names) + 1)
-                kinds = [pa.float64() if " double" in f else pa.string() for f in schema.split(", ")] + [pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*names, "_corrupt_record"])
-
-    out = reader.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"{schema}, _corrupt_record string")
+        found = chain.from_iterable(rows(name, data) for b in batches for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        while some := list(islice(found, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], [*names, "_corrupt_record"])
+
+    out = reader.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names) + ", _corrupt_record string")
     return out if mode == "PERMISSIVE" else out.drop("_corrupt_record")
 
 
-def read_sequences(spark: SparkSession, path: str, format: str | None = None, traits: str = "dna", mode: str = "FAILFAST", stream: bool = False, **options: bool) -> DataFrame:
-    """id, seq, qual. traits: dna, aa or any; mode PERMISSIVE keeps what precedes an error and tells it in _corrupt_record."""
+def read_sequences(spark: SparkSession, path: str, format: str | None = None, traits: str = "dna", mode: str = "FAILFAST", stream: bool = False, fields: tuple[str, ...] | None = None, max_files: int | None = None, **options: bool) -> DataFrame:
+    """id, seq, qual, or the fields asked for in their order. traits: dna, aa or any; mode PERMISSIVE keeps what precedes an error and tells it in _corrupt_record."""
     parse = {
         "fasta": lambda t: T.read_fasta(t, traits, **options),
         "fastq": lambda t: T.read_fastq(t, traits, **options),
         "embl": lambda t: T.read_flat(t, "ID", "SQ", traits, **options),
         "genbank": lambda t: T.read_flat(t, "LOCUS", "ORIGIN", traits, **options),
     }[format or format_of(path)]
-    return _parsed(spark, path, parse, "id string, seq string, qual string", mode, stream)
+    return _parsed(spark, path, parse, "id string, seq string, qual string", mode, stream, fields, max_files)
+
+
+def read_records(spark: SparkSession, path: str, format: str | None = None, mode: str = "FAILFAST", fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of files in a registered format."""
+    own = OWN[format or format_of(path)]
+    return _parsed(spark, path, own.parse, own.schema, mode, fields=fields)
 
 
-def read_fasta_split(spark: SparkSession, path: str) -> DataFrame:
-    """id, seq of FASTA files with > markers, cut at records by Spark's text reader, so one large file is many tasks' work."""
+def write_records(df: DataFrame, path: str, format: str, compression: str | None = None) -> None:
+    own = OWN[format]
+    if own.write is None:
+        raise ValueError(f"{format} can't be written")
+    _written(df, path, [f.split()[0] for f in own.schema.split(", ")], own.write, compression)
+
+
+def read_fasta_split(spark: SparkSession, path: str, traits: str = "any") -> DataFrame:
+    """id, seq of FASTA files with > markers, cut at records by Spark's text reader, so one large file is many tasks' work. Letters outside the traits raise an error."""
     raw = spark.read.option("lineSep", "\n>").text(path)
     record = F.regexp_replace("value", "^>", "")
-    return raw.select(F.trim(F.regexp_extract(record, "^[^\n]*", 0)).alias("id"), F.regexp_replace(F.regexp_replace(record, "^[^\n]*", ""), r"[\s0-9]", "").alias("seq")).where("id <> '' OR seq <> ''")
+    seq = F.regexp_replace(F.regexp_replace(record, "^[^\n]*", ""), r"[\s0-9]", "")
+    if T.LEGAL[traits] is not None:
+        seq = F.when(seq.rlike(f"^[{''.join(sorted(T.LEGAL[traits]))}]*$"), seq).otherwise(F.raise_error(F.lit("illegal letters")).cast("string"))
+    return raw.select(F.trim(F.regexp_extract(record, "^[^\n]*", 0)).alias("id"), seq.alias("seq")).where("id <> '' OR seq <> ''")
+
+
+def read_fastq_split(spark: SparkSession, path: str, traits: str = "dna") -> DataFrame:
+    """id, seq, qual of FASTQ files with four lines a record, so that one large file is many tasks' work.
+
+    Every task finds the first record of its own splits. Lines at the ends of splits, at most a few
+    for each, are put together by a second, small branch of the plan, which reads the files again.
+    """
+    schema, fragment = "id string, seq string, qual string", "file string, start long, part int, lines array<string>"
+
+    def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], T.FastqSplit, list[tuple[str, str, str]]]]:
+        """(split, its state, new records); at the end of a split once more without records."""
+        key, state = None, T.FastqSplit(traits)
+        for b in batches:
+            files, starts, lines = (c.to_pylist() for c in b.columns)
+            at = 0
+            while at < len(lines):
+                now = files[at], starts[at]
+                end = next((i for i in range(at + 1, len(lines)) if (files[i], starts[i]) != now), len(lines)) if (files[-1], starts[-1]) != now else len(lines)
+                if now != key:
+                    if key:
+                        yield key, state, []
+                    key, state = now, T.FastqSplit(traits)
+                if found := state.feed(lines[at:end]):
+                    yield key, state, found
+                at = end
+        if key:
+            yield key, state, []
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, found in splits(batches):
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], ["id", "seq", "qual"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, start), state, found in splits(batches):
+            if not found:
+                rows = [(file, start, part, lines) for part, lines in state.fragments()]
+                yield pa.RecordBatch.from_pylist([dict(zip(("file", "start", "part", "lines"), r, strict=True)) for r in rows], pa.schema([("file", pa.string()), ("start", pa.int64()), ("part", pa.int32()), ("lines", pa.list_(pa.string()))]))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [r for lines in b.column(0).to_pylist() for r in T.fastq_records(lines, traits)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in range(3)], ["id", "seq", "qual"])
+
+    text = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
+    order = Window.partitionBy("file").orderBy("start", "part")
+    parts = text.mapInArrow(ends, fragment).withColumn("record", F.sum("part").over(order))
+    lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part", "lines"))), lambda x: x["lines"]))
+    straddling = parts.groupBy("file", "record").agg(lines.alias("lines")).select("lines").mapInArrow(joined, schema)
+    return text.mapInArrow(whole, schema).unionByName(straddling)
 
 
-def read_structures(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """id, seq, structure, energy."""
-    return _parsed(spark, path, T.read_vienna, "id string, seq string, structure string, energy double", mode)
+#: Columns that structure files have or that follow from them.
+STRUCTURE_FIELDS = ("id", "seq", "structure", "energy", "bpp", "structured_seq")
+
+
+def read_structures(spark: SparkSession, path: str, mode: str = "FAILFAST", fields: tuple[str, ...] = ("id", "seq", "structure", "energy")) -> DataFrame:
+    """The fields asked for: id, seq, structure, energy; bpp (pairs with probability 1), structured_seq (letters with their structure)."""
+    if unknown := set(fields) - set(STRUCTURE_FIELDS):
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    rows = _parsed(spark, path, T.read_vienna, "id string, seq string, structure string, energy double", mode)
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    made = {"bpp": lambda: structure.bpp_from_structure("structure"), "structured_seq": lambda: F.zip_with(letters("seq"), letters("structure"), lambda a, b: F.struct(a.alias("letter"), b.alias("structure")))}
+    extra = ["_corrupt_record"] if mode == "PERMISSIVE" else []
+    return rows.select(*(made[f]().alias(f) if f in made else f for f in fields), *extra)
 
 
 def _written(df: DataFrame, path: str, columns: list[str], write: Callable[[Iterator[tuple]], Iterator[str]], compression: str | None) -> None:
@@ -96,8 +213,8 @@ def write_sequences(df: DataFrame, path: str, format: str, compression: str | No
     _written(df, path, columns, lambda rows: write(rows, **options), compression)
 
 
-def write_structures(df: DataFrame, path: str, precision: int = 6) -> None:
-    _written(df, path, ["id", "seq", "structure", "energy"], lambda rows: T.write_vienna(rows, precision), None)
+def write_structures(df: DataFrame, path: str, precision: int = 6, compression: str | None = None) -> None:
+    _written(df, path, ["id", "seq", "structure", "energy"], lambda rows: T.write_vienna(rows, precision), compression)
 
 
 def _records(lines: DataFrame) -> DataFrame:
@@ -154,16 +271,20 @@ def _header_lines(refs: list[tuple[str, int]]) -> list[str]:
     return ["@HD\tVN:1.6", *(f"@SQ\tSN:{n}\tLN:{k}" for n, k in refs)]
 
 
-def write_sam(records: DataFrame, path: str, refs: list[tuple[str, int]]) -> None:
-    """One SAM file for each partition, each with the header."""
-    head = _header_lines(refs)
+def write_sam(records: DataFrame, path: str, refs: list[tuple[str, int]], compression: str | None = None) -> None:
+    """One SAM file for each partition, each with the header; a reference that the header lacks raises an error."""
+    head, known = _header_lines(refs), {"*", "=", *(n for n, _ in refs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], ["value"])
         for b in batches:
+            for line in b.column(0).to_pylist():
+                fields = line.split("\t", 7)
+                if unknown := {fields[2], fields[6]} - known:
+                    raise ValueError(f"{sorted(unknown)} not in the header")
             yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
 
-    sam_lines(records).mapInArrow(run, "value string").write.text(path)
+    sam_lines(records).mapInArrow(run, "value string").write.text(path, compression=compression)
 
 
 def bam_files(records: DataFrame, refs: list[tuple[str, int]]) -> DataFrame:
@@ -171,7 +292,75 @@ def bam_files(records: DataFrame, refs: list[tuple[str, int]]) -> DataFrame:
     head = "\n".join(_header_lines(refs)) + "\n"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = T.write_bam(head, refs, (x for b in batches for x in b.column(0).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([T.blocked_gzip(data)], pa.binary())], ["content"])
+        data = b"".join(T.write_bam(head, refs, (x for b in batches for x in b.column(0).to_pylist())))
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["content"])
 
     return sam_lines(records).mapInArrow(run, "content binary")
+
+
+def bam_header(spark: SparkSession, path: str) -> dict[str, list[dict[str, str]]]:
+    """Header of the first of the BAM files; its references alone, if it has no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                text, refs = T.read_bam_head(T.decompress(data))
+                yield pa.RecordBatch.from_arrays([pa.array([text if "@SQ" in text else text + "\n".join(_header_lines(refs)[1:])])], ["text"])
+
+    first = spark.read.format("binaryFile").load(path).orderBy("path").limit(1)
+    return T.read_header(first.select("content").mapInArrow(run, "text string").first().text)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    temporary: str
+    final: str
+
+
+class _BamWriter(DataSourceWriter):
+    """Tasks write under names of their own attempt; the commit gives the files of the attempts that count their names."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.header, self.refs = options["path"], options["header"], json.loads(options["refs"])
+
+    def write(self, iterator: Iterator) -> _Written:
+        task = TaskContext.get()
+        system, folder = fs.FileSystem.from_uri(self.path)
+        system.create_dir(folder, recursive=True)
+        temporary = f"{folder}/_attempt-{task.taskAttemptId()}-{uuid.uuid4().hex}"
+        with system.open_output_stream(temporary) as out:
+            for block in T.write_bam(self.header, [(n, k) for n, k in self.refs], (r.value for r in iterator)):
+                out.write(block)
+        return _Written(temporary, f"{folder}/part-{task.partitionId():05d}.bam")
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        system, _ = fs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m:
+                system.move(m.temporary, m.final)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        system, _ = fs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m:
+                system.delete_file(m.temporary)
+
+
+class BamSink(DataSource):
+    """Spark data source that writes SAM lines (column value) as BAM files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "seqframe_bam"
+
+    def writer(self, schema: object, overwrite: bool) -> _BamWriter:
+        return _BamWriter(dict(self.options))
+
+
+def write_bam(records: DataFrame, path: str, refs: list[tuple[str, int]]) -> None:
+    """One BAM file for each partition in the folder path (a URI that all executors can reach), streamed block by block."""
+    spark = records.sparkSession
+    spark.dataSource.register(BamSink)
+    uri = path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+    out = sam_lines(records).write.format("seqframe_bam").mode("append")
+    out.option("header", "\n".join(_header_lines(refs)) + "\n").option("refs", json.dumps(refs)).save(uri)

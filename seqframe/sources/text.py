@@ -31,15 +31,20 @@ def decompress(data: bytes) -> bytes:
     return data
 
 
-def blocked_gzip(data: bytes, block: int = 65280) -> bytes:
+#: Bytes of a BGZF block before packing.
+BLOCK = 65280
+
+
+def packed_block(part: bytes) -> bytes:
+    """One block of BGZF; of no bytes, the end block."""
+    c = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = c.compress(part) + c.flush()
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+
+
+def blocked_gzip(data: bytes) -> bytes:
     """BGZF: independent blocks of at most 64 KB, and the empty end block."""
-    out = bytearray()
-    for at in [*range(0, len(data), block), -1]:
-        part = b"" if at < 0 else data[at : at + block]
-        c = zlib.compressobj(6, zlib.DEFLATED, -15)
-        body = c.compress(part) + c.flush()
-        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
-    return bytes(out)
+    return b"".join(packed_block(data[at : at + BLOCK]) for at in range(0, len(data), BLOCK)) + packed_block(b"")
 
 
 def _legal(seq: str, traits: str) -> str:
@@ -99,6 +104,46 @@ def read_fastq(text: str, traits: str = "dna", truncate_ids: bool = False) -> It
         yield name.split(" ")[0] if truncate_ids else name, _legal(seq, traits), qual
 
 
+class FastqSplit:
+    """Records of four lines from a stretch of a file that may begin and end anywhere.
+
+    A line that begins with @, two lines before one that begins with +, is an id line: sequences
+    begin with neither. What precedes the first record and what follows the last are fragments, for
+    the records that straddle two stretches.
+    """
+
+    def __init__(self, traits: str) -> None:
+        self.traits, self.held, self.found, self.head = traits, [], False, []
+
+    def feed(self, lines: list[str]) -> list[tuple[str, str, str]]:
+        self.held += [x for x in lines if x.strip()]
+        if not self.found:
+            at = next((i for i in range(len(self.held) - 2) if self.held[i][0] == "@" and self.held[i + 2][0] == "+"), None)
+            if at is None:
+                return []
+            self.found, self.head, self.held = True, self.held[:at], self.held[at:]
+        n = len(self.held) // 4 * 4
+        out, self.held = fastq_records(self.held[:n], self.traits), self.held[n:]
+        return out
+
+    def fragments(self) -> list[tuple[int, list[str]]]:
+        """(whether a new record begins there, lines)."""
+        return [(0, self.head), (1, self.held)] if self.found else [(0, self.held)]
+
+
+def fastq_records(lines: list[str], traits: str) -> list[tuple[str, str, str]]:
+    """Records of exactly four lines each."""
+    out = []
+    if len(lines) % 4:
+        raise ParseError("a record ends before its qualities")
+    for i in range(0, len(lines), 4):
+        name, seq, plus, qual = lines[i : i + 4]
+        if name[0] != "@" or plus[0] != "+" or len(seq) != len(qual):
+            raise ParseError(f"not a record of four lines: {name[:80]}")
+        out.append((name[1:], _legal(seq, traits), qual))
+    return out
+
+
 def write_fastq(rows: Iterator[tuple[str, str, str]], double_id: bool = False) -> Iterator[str]:
     for name, seq, qual in rows:
         if not name or not seq or len(qual or "") != len(seq):
@@ -188,8 +233,7 @@ NIBBLES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 SCALARS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 
 
-def read_bam(data: bytes) -> tuple[str, list[tuple[str, int]], list[str]]:
-    """(header text, references, records as SAM lines) of an unpacked binary file."""
+def _bam_head(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
     if data[:4] != b"BAM\x01":
         raise ParseError("not a BAM file")
     n = struct.unpack_from("<i", data, 4)[0]
@@ -200,6 +244,17 @@ def read_bam(data: bytes) -> tuple[str, list[tuple[str, int]], list[str]]:
         k = struct.unpack_from("<i", data, at)[0]
         refs.append((data[at + 4 : at + 3 + k].decode(), struct.unpack_from("<i", data, at + 4 + k)[0]))
         at += 8 + k
+    return header, refs, at
+
+
+def read_bam_head(data: bytes) -> tuple[str, list[tuple[str, int]]]:
+    """(header text, references) of an unpacked binary file."""
+    return _bam_head(data)[:2]
+
+
+def read_bam(data: bytes) -> tuple[str, list[tuple[str, int]], list[str]]:
+    """(header text, references, records as SAM lines) of an unpacked binary file."""
+    header, refs, at = _bam_head(data)
     lines = []
     while at < len(data):
         size = struct.unpack_from("<i", data, at)[0]
@@ -251,39 +306,53 @@ def _bin(begin: int, end: int) -> int:
     return 0
 
 
-def write_bam(header: str, refs: list[tuple[str, int]], lines: Iterator[str]) -> bytes:
-    """Unpacked binary file of SAM lines."""
+def bam_head(header: str, refs: list[tuple[str, int]]) -> bytes:
+    """What precedes the records of an unpacked binary file."""
     raw = header.encode()
     out = bytearray(b"BAM\x01" + struct.pack("<i", len(raw)) + raw + struct.pack("<i", len(refs)))
-    index = {}
-    for i, (name, size) in enumerate(refs):
-        index[name] = i
+    for name, size in refs:
         out += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
-    for line in lines:
-        name, flag, ref, pos, mapq, cigar, mate, mate_pos, tlen, seq, qual, *tags = line.split("\t")
-        if ref != "*" and ref not in index:
-            raise ValueError(f"{ref} is not in the header")
-        r = index.get(ref, -1)
-        m = r if mate == "=" else index.get(mate, -1)
-        ops = [] if cigar == "*" else [(int(n), o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
-        seq, qual = "" if seq == "*" else seq, "" if qual == "*" else qual
-        span = sum(n for n, o in ops if o in "MDN=X") or 1
-        body = struct.pack("<iiBBHHHiiii", r, int(pos) - 1, len(name) + 1, int(mapq), _bin(max(0, int(pos) - 1), max(0, int(pos) - 1) + span), len(ops), int(flag), len(seq), m, int(mate_pos) - 1, int(tlen))
-        body += name.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | OPS.index(o)) for n, o in ops)
-        codes = [NIBBLES.index(c) if c in NIBBLES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
-        body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
-        body += bytes(ord(c) - 33 for c in qual) if qual else b"\xff" * len(seq)
-        for tag in tags:
-            t, kind, value = tag.split(":", 2)
-            body += t.encode() + kind.encode()
-            if kind in "ZH":
-                body += value.encode() + b"\0"
-            elif kind == "A":
-                body += value.encode()
-            elif kind == "B":
-                sub, *values = value.split(",")
-                body += sub.encode() + struct.pack("<i", len(values)) + b"".join(struct.pack(SCALARS[sub], float(v) if sub == "f" else int(v)) for v in values)
-            else:
-                body += struct.pack(SCALARS[kind], float(value) if kind == "f" else int(value))
-        out += struct.pack("<i", len(body)) + body
     return bytes(out)
+
+
+def bam_record(line: str, index: dict[str, int]) -> bytes:
+    """A SAM line as a binary record; index: place of each reference."""
+    name, flag, ref, pos, mapq, cigar, mate, mate_pos, tlen, seq, qual, *tags = line.split("\t")
+    for x in (ref, mate):
+        if x not in ("*", "=") and x not in index:
+            raise ValueError(f"{x} is not in the header")
+    r = index.get(ref, -1)
+    m = r if mate == "=" else index.get(mate, -1)
+    ops = [] if cigar == "*" else [(int(n), o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    seq, qual = "" if seq == "*" else seq, "" if qual == "*" else qual
+    span = sum(n for n, o in ops if o in "MDN=X") or 1
+    body = bytearray(struct.pack("<iiBBHHHiiii", r, int(pos) - 1, len(name) + 1, int(mapq), _bin(max(0, int(pos) - 1), max(0, int(pos) - 1) + span), len(ops), int(flag), len(seq), m, int(mate_pos) - 1, int(tlen)))
+    body += name.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | OPS.index(o)) for n, o in ops)
+    codes = [NIBBLES.index(c) if c in NIBBLES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
+    body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+    body += bytes(ord(c) - 33 for c in qual) if qual else b"\xff" * len(seq)
+    for tag in tags:
+        t, kind, value = tag.split(":", 2)
+        body += t.encode() + kind.encode()
+        if kind in "ZH":
+            body += value.encode() + b"\0"
+        elif kind == "A":
+            body += value.encode()
+        elif kind == "B":
+            sub, *values = value.split(",")
+            body += sub.encode() + struct.pack("<i", len(values)) + b"".join(struct.pack(SCALARS[sub], float(v) if sub == "f" else int(v)) for v in values)
+        else:
+            body += struct.pack(SCALARS[kind], float(value) if kind == "f" else int(value))
+    return struct.pack("<i", len(body)) + bytes(body)
+
+
+def write_bam(header: str, refs: list[tuple[str, int]], lines: Iterator[str]) -> Iterator[bytes]:
+    """BGZF blocks of a binary file of SAM lines, the end block last."""
+    index = {name: i for i, (name, _) in enumerate(refs)}
+    held = bytearray(bam_head(header, refs))
+    for line in lines:
+        held += bam_record(line, index)
+        while len(held) >= BLOCK:
+            yield packed_block(bytes(held[:BLOCK]))
+            del held[:BLOCK]
+    yield packed_block(bytes(held)) + packed_block(b"")

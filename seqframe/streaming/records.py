@@ -10,9 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from seqframe.sources.files import read_sequences
 
 
-def stream_sequences(spark: SparkSession, path: str, format: str, traits: str = "dna") -> DataFrame:
-    """id, seq, qual of files as they arrive; offsets are kept in the query's checkpoint."""
-    return read_sequences(spark, path, format, traits, stream=True)
+def stream_sequences(spark: SparkSession, path: str, format: str, traits: str = "dna", max_files: int | None = None) -> DataFrame:
+    """id, seq, qual of files as they arrive, at most max_files a batch; offsets are kept in the query's checkpoint, so a query restarts where it stopped."""
+    return read_sequences(spark, path, format, traits, stream=True, max_files=max_files)
 
 
 def on_result(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
