@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.functions.letters import to_rank
+from seqframe.operators.lineage import cut
 from seqframe.operators.search import search
 
 
@@ -20,7 +21,8 @@ from seqframe.operators.search import search
 class Cursors:
     """table: cursor_id, label, moved (whether the last move succeeded); references: reference_id, text.
 
-    A cursor that can't move keeps its label and has moved = false. The empty label is the root.
+    A cursor that can't move keeps its label and has moved = false. The empty label is the root. Every
+    move is made at once and cuts the table's lineage, so that the next doesn't search again.
     """
 
     table: DataFrame
@@ -37,13 +39,15 @@ class Cursors:
         return cls(ids.select(F.col(id_col).cast("bigint").alias("cursor_id"), F.lit("").alias("label"), F.lit(True).alias("moved")), held, index, k)
 
     def _hits(self, label: Column) -> DataFrame:
-        asked = self.table.select(F.col("cursor_id").alias("query_id"), label.alias("query"))
-        return search(asked, self.references, k=self.k, index=self.index)
+        """_label, reference_id, reference_begin_position of every distinct label; each is searched once."""
+        labels = self.table.groupBy(label.alias("_label")).agg(F.min("cursor_id").alias("query_id"))
+        found = search(labels.select("query_id", F.col("_label").alias("query")), self.references, k=self.k, index=self.index)
+        return found.join(labels, "query_id").select("_label", "reference_id", "reference_begin_position")
 
     def _to(self, label: Column) -> Cursors:
-        found = self._hits(label).select(F.col("query_id").alias("cursor_id")).distinct().withColumn("_found", F.lit(True))
-        moved = self.table.join(found, "cursor_id", "left").withColumn("moved", F.coalesce("_found", F.lit(False)))
-        return replace(self, table=moved.select("cursor_id", F.when(F.col("moved"), label).otherwise(F.col("label")).alias("label"), "moved"))
+        found = self._hits(label).select("_label").distinct().withColumn("_found", F.lit(True))
+        moved = self.table.withColumn("_label", label).join(found, "_label", "left").withColumn("moved", F.coalesce("_found", F.lit(False)))
+        return replace(self, table=cut(moved.select("cursor_id", F.when(F.col("moved"), F.col("_label")).otherwise(F.col("label")).alias("label"), "moved")))
 
     def extend_right(self, letters: str | Column | None = None) -> Cursors:
         """By these letters, or by the least letter that stands right of the label."""
@@ -65,27 +69,31 @@ class Cursors:
         label, size = F.col("label"), F.length("label")
         kept = label if not cycle else F.substr("label", F.lit(2)) if left else F.substr("label", F.lit(1), F.greatest(size - 1, F.lit(0)))
         own = F.lit("") if not cycle else F.substr("label", F.lit(1), F.lit(1)) if left else F.right("label", F.lit(1))
-        asked = self.table.select("cursor_id", kept.alias("_kept"), own.alias("_own"), (size > 0).alias("_deep"))
-        hits = self._hits(kept).withColumnRenamed("query_id", "cursor_id").join(asked, "cursor_id").join(self.references, "reference_id")
+        asked = self.table.select("cursor_id", "label", kept.alias("_label"), own.alias("_own"))
+        deep = replace(self, table=self.table.where(F.length(kept) > 0))
         begin = F.col("reference_begin_position")
-        place = begin if left else begin + F.length("_kept") + 1
+        place = begin if left else begin + F.length("_label") + 1
         letter = F.when(place > 0, F.substr("text", place, F.lit(1)))
-        rows = hits.select("cursor_id", "_own", "_deep", letter.alias("_letter")).where("_letter <> ''")
+        beside = deep._hits(kept).join(self.references, "reference_id").select("_label", letter.alias("_letter"))
+        first = self.references.select(F.lit("").alias("_label"), F.explode(F.array_distinct(F.split("text", ""))).alias("_letter"))
+        beside = beside.union(first).where("_letter <> ''").distinct()
+        rows = asked.join(beside, "_label")
         if cycle:
-            rows = rows.where("_deep AND _letter > _own")
+            rows = rows.where("label <> '' AND _letter > _own")
         best = rows.groupBy("cursor_id").agg(F.min("_letter").alias("_letter"))
         out = self.table.join(best, "cursor_id", "left")
         longer = F.concat("_letter", kept) if left else F.concat(kept, "_letter")
-        return replace(self, table=out.select("cursor_id", F.coalesce(longer, "label").alias("label"), F.col("_letter").isNotNull().alias("moved")))
+        return replace(self, table=cut(out.select("cursor_id", F.coalesce(longer, "label").alias("label"), F.col("_letter").isNotNull().alias("moved"))))
 
     def count(self) -> DataFrame:
         """cursor_id, n: how often the label occurs."""
-        found = self._hits(F.col("label")).groupBy(F.col("query_id").alias("cursor_id")).agg(F.count(F.lit(1)).alias("_n"))
-        return self.table.select("cursor_id").join(found, "cursor_id", "left").select("cursor_id", F.coalesce("_n", F.lit(0)).alias("n"))
+        found = self._hits(F.col("label")).groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
+        return self.table.join(found, F.col("label") == F.col("_label"), "left").select("cursor_id", F.coalesce("_n", F.lit(0)).alias("n"))
 
     def locate(self) -> DataFrame:
         """cursor_id, reference_id, reference_begin_position of the label's places."""
-        return self._hits(F.col("label")).select(F.col("query_id").alias("cursor_id"), "reference_id", "reference_begin_position")
+        found = self._hits(F.col("label"))
+        return self.table.join(found, F.col("label") == F.col("_label")).select("cursor_id", "reference_id", "reference_begin_position")
 
     def path(self, of: str | None = None) -> DataFrame:
         """cursor_id, label, query_length, and with an alphabet last_rank, the rank of the label's last letter."""

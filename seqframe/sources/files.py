@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from seqframe.functions import sam, structure
 from seqframe.sources import text as T
@@ -317,19 +317,19 @@ class _Written(WriterCommitMessage):
     final: str
 
 
-class _BamWriter(DataSourceWriter):
+class _BamWriter(DataSourceArrowWriter):
     """Tasks write under names of their own attempt; the commit gives the files of the attempts that count their names."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.header, self.refs = options["path"], options["header"], json.loads(options["refs"])
 
-    def write(self, iterator: Iterator) -> _Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         task = TaskContext.get()
         system, folder = fs.FileSystem.from_uri(self.path)
         system.create_dir(folder, recursive=True)
         temporary = f"{folder}/_attempt-{task.taskAttemptId()}-{uuid.uuid4().hex}"
         with system.open_output_stream(temporary) as out:
-            for block in T.write_bam(self.header, [(n, k) for n, k in self.refs], (r.value for r in iterator)):
+            for block in T.write_bam(self.header, [(n, k) for n, k in self.refs], (x for b in iterator for x in b.column(0).to_pylist())):
                 out.write(block)
         return _Written(temporary, f"{folder}/part-{task.partitionId():05d}.bam")
 
