@@ -247,15 +247,46 @@ def references(spark: SparkSession, header: dict[str, list[dict[str, str]]]) ->
     return spark.createDataFrame(rows, "index int, name string, length long")
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of BAM files; a file is one task's work."""
+#: Bytes that a reader of large files asks for at once.
+PIECE = 4 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def read_bam(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
+    """Records of BAM files; a file is one task's work.
+
+    Files of over 2 GB need large: then tasks open them by pyarrow.fs, which must reach the folder,
+    and hold a few MB at a time; else Spark's binaryFile source reads them whole.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    if not large:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for data in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(T.read_bam(T.decompress(data))[2], pa.string())], ["value"])
+
+        return _records(found.select("content").mapInArrow(run, "value string"))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(T.read_bam(T.decompress(data))[2], pa.string())], ["value"])
+            for uri in b.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(_uri(uri))
+                with system.open_input_stream(name, compression=None) as f:
+                    lines = T.bam_lines(T.inflated(iter(lambda f=f: f.read(PIECE), b"")))
+                    while some := list(islice(lines, ROWS)):
+                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["value"])
+
+    # one partition for each file, by a hash of its path
+    files = found.select("path").repartition(max(1, len(found.inputFiles())), "path")
+    return _records(files.mapInArrow(stream, "value string"))
+
 
-    return _records(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string"))
+def _uri(path: str) -> str:
+    """A path as pyarrow.fs takes it."""
+    for scheme, to in (("file:///", "file:///"), ("file:/", "file:///"), ("s3a://", "s3://"), ("s3n://", "s3://")):
+        if path.startswith(scheme):
+            return to + path[len(scheme) :]
+    return path if "://" in path else f"file://{os.path.abspath(path)}"
 
 
 def sam_lines(records: DataFrame) -> DataFrame:
@@ -361,6 +392,5 @@ def write_bam(records: DataFrame, path: str, refs: list[tuple[str, int]]) -> Non
     """One BAM file for each partition in the folder path (a URI that all executors can reach), streamed block by block."""
     spark = records.sparkSession
     spark.dataSource.register(BamSink)
-    uri = path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
     out = sam_lines(records).write.format("seqframe_bam").mode("append")
-    out.option("header", "\n".join(_header_lines(refs)) + "\n").option("refs", json.dumps(refs)).save(uri)
+    out.option("header", "\n".join(_header_lines(refs)) + "\n").option("refs", json.dumps(refs)).save(_uri(path))

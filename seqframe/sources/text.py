@@ -257,46 +257,96 @@ def read_bam(data: bytes) -> tuple[str, list[tuple[str, int]], list[str]]:
     header, refs, at = _bam_head(data)
     lines = []
     while at < len(data):
-        size = struct.unpack_from("<i", data, at)[0]
-        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
-        p, end = at + 36, at + 4 + size
-        name = data[p : p + l_name - 1].decode()
-        p += l_name
-        cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{n_cigar}I", data, p)) or "*"
-        p += 4 * n_cigar
-        raw = data[p : p + (l_seq + 1) // 2]
-        seq = "".join(NIBBLES[x >> 4] + NIBBLES[x & 15] for x in raw)[:l_seq] or "*"
-        p += len(raw)
-        q = data[p : p + l_seq]
-        qual = "*" if not l_seq or q[0] == 255 else "".join(chr(x + 33) for x in q)
-        p += l_seq
-        tags = []
-        while p < end:
-            tag, kind = data[p : p + 2].decode(), chr(data[p + 2])
-            p += 3
-            if kind in "ZH":
-                stop = data.index(0, p)
-                tags.append(f"{tag}:{kind}:{data[p:stop].decode()}")
-                p = stop + 1
-            elif kind == "A":
-                tags.append(f"{tag}:A:{chr(data[p])}")
-                p += 1
-            elif kind == "B":
-                sub, k = chr(data[p]), struct.unpack_from("<i", data, p + 1)[0]
-                form = "<" + str(k) + SCALARS[sub][1]
-                tags.append(f"{tag}:B:{sub}" + "".join(f",{x:g}" if sub == "f" else f",{x}" for x in struct.unpack_from(form, data, p + 5)))
-                p += 5 + struct.calcsize(form)
-            else:
-                x = struct.unpack_from(SCALARS[kind], data, p)[0]
-                tags.append(f"{tag}:{'f' if kind == 'f' else 'i'}:{x:g}" if kind == "f" else f"{tag}:i:{x}")
-                p += struct.calcsize(SCALARS[kind])
-        where = refs[ref][0] if ref >= 0 else "*"
-        other = "*" if mate < 0 else "=" if mate == ref else refs[mate][0]
-        lines.append("\t".join([name or "*", str(flag), where, str(pos + 1), str(mapq), cigar, other, str(mate_pos + 1), str(tlen), seq, qual, *tags]))
-        at = end
+        line, at = _bam_line(data, at, refs)
+        lines.append(line)
     return header, refs, lines
 
 
+def _bam_line(data: bytes, at: int, refs: list[tuple[str, int]]) -> tuple[str, int]:
+    """The record at a place as a SAM line, and the place after it."""
+    size = struct.unpack_from("<i", data, at)[0]
+    ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
+    p, end = at + 36, at + 4 + size
+    name = data[p : p + l_name - 1].decode()
+    p += l_name
+    cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{n_cigar}I", data, p)) or "*"
+    p += 4 * n_cigar
+    raw = data[p : p + (l_seq + 1) // 2]
+    seq = "".join(NIBBLES[x >> 4] + NIBBLES[x & 15] for x in raw)[:l_seq] or "*"
+    p += len(raw)
+    q = data[p : p + l_seq]
+    qual = "*" if not l_seq or q[0] == 255 else "".join(chr(x + 33) for x in q)
+    p += l_seq
+    tags = []
+    while p < end:
+        tag, kind = data[p : p + 2].decode(), chr(data[p + 2])
+        p += 3
+        if kind in "ZH":
+            stop = data.index(0, p)
+            tags.append(f"{tag}:{kind}:{data[p:stop].decode()}")
+            p = stop + 1
+        elif kind == "A":
+            tags.append(f"{tag}:A:{chr(data[p])}")
+            p += 1
+        elif kind == "B":
+            sub, k = chr(data[p]), struct.unpack_from("<i", data, p + 1)[0]
+            form = "<" + str(k) + SCALARS[sub][1]
+            tags.append(f"{tag}:B:{sub}" + "".join(f",{x:g}" if sub == "f" else f",{x}" for x in struct.unpack_from(form, data, p + 5)))
+            p += 5 + struct.calcsize(form)
+        else:
+            x = struct.unpack_from(SCALARS[kind], data, p)[0]
+            tags.append(f"{tag}:{'f' if kind == 'f' else 'i'}:{x:g}" if kind == "f" else f"{tag}:i:{x}")
+            p += struct.calcsize(SCALARS[kind])
+    where = refs[ref][0] if ref >= 0 else "*"
+    other = "*" if mate < 0 else "=" if mate == ref else refs[mate][0]
+    return "\t".join([name or "*", str(flag), where, str(pos + 1), str(mapq), cigar, other, str(mate_pos + 1), str(tlen), seq, qual, *tags]), end
+
+
+def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Unpacked bytes of gz members (BGZF blocks too) that come in pieces; anything else as it is."""
+    unpack, packed = None, None
+    for data in chunks:
+        if packed is None:
+            packed = data[:2] == b"\x1f\x8b"
+        if not packed:
+            yield data
+            continue
+        while data:
+            unpack = unpack or zlib.decompressobj(31)
+            if out := unpack.decompress(data):
+                yield out
+            data = unpack.unused_data
+            if unpack.eof:
+                unpack = None
+    if unpack:
+        raise ParseError("a packed file ends within a block")
+
+
+def bam_lines(chunks: Iterator[bytes]) -> Iterator[str]:
+    """SAM lines of an unpacked binary file that comes in pieces; no more than a record and a piece are held."""
+    held, refs = bytearray(), None
+    for part in chunks:
+        held += part
+        if refs is None:
+            if len(held) < 8:
+                continue
+            try:
+                _, refs, at = _bam_head(bytes(held))
+            except (struct.error, UnicodeDecodeError):
+                continue  # the head goes on in the next piece
+            if at > len(held):
+                refs = None
+                continue
+            del held[:at]
+        whole, at = bytes(held), 0
+        while len(whole) - at >= 4 and len(whole) - at >= 4 + struct.unpack_from("<i", whole, at)[0]:
+            line, at = _bam_line(whole, at, refs)
+            yield line
+        del held[:at]
+    if held or refs is None:
+        raise ParseError("a binary file ends within a record or its head")
+
+
 def _bin(begin: int, end: int) -> int:
     """Bin of an interval in the usual scheme of six levels."""
     end -= 1

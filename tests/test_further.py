@@ -114,6 +114,7 @@ def test_bam_sink(spark, tmp_path):
     files.write_bam(sam.repartition(3), str(tmp_path / "bam"), [("ref", 30_000), ("other", 5)])
     assert sorted(p.name for p in (tmp_path / "bam").iterdir()) == [f"part-{i:05d}.bam" for i in range(3)]
     assert sorted(r.value for r in files.sam_lines(files.read_bam(spark, str(tmp_path / "bam"))).collect()) == sorted(lines)
+    assert sorted(r.value for r in files.sam_lines(files.read_bam(spark, str(tmp_path / "bam"), large=True)).collect()) == sorted(lines)
     assert [x["SN"] for x in files.bam_header(spark, str(tmp_path / "bam"))["SQ"]] == ["ref", "other"]
     for write in (files.write_bam, files.write_sam):
         with pytest.raises(Exception):
@@ -121,6 +122,23 @@ def test_bam_sink(spark, tmp_path):
         assert not list((tmp_path / write.__name__).glob("part-*"))
 
 
+def test_pieces_of_bam():
+    """A file that comes in pieces of any size gives the same lines; one cut short raises an error."""
+    refs, lines = [("a" * 30, 9), ("b", 5)], [f"r{i}\t0\tb\t{i + 1}\t9\t4M\t=\t3\t0\tACGT\tIIII\tXZ:Z:{'x' * i}" for i in range(40)]
+    packed = b"".join(T.write_bam("@HD\tVN:1.6\n", refs, iter(lines)))
+    pieces = lambda data, n: iter([data[i : i + n] for i in range(0, len(data), n)])
+    want = T.read_bam(T.decompress(packed))[2]
+    plain = T.decompress(packed)
+    for n in (1, 7, 100, 1 << 20):
+        assert list(T.bam_lines(T.inflated(pieces(packed, max(n, 2))))) == want
+        assert list(T.bam_lines(pieces(plain, n))) == want
+    for short in (plain[:-1], plain[:20], b""):
+        with pytest.raises(T.ParseError):
+            list(T.bam_lines(pieces(short, 8)))
+    with pytest.raises(T.ParseError):
+        list(T.inflated(pieces(packed[:100], 50)))
+
+
 def test_formats(spark, tmp_path):
     with pytest.raises(ValueError):
         files.register_format("fasta", ("x",), "id string", iter)
