@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the cluster's checkpoint folder (spark.checkpoint.dir); one of its own only for a local master without any."""
     context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir() and named:
+        context.setCheckpointDir(named)
+    elif not context.getCheckpointDir():
         if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="seqframe-"))
